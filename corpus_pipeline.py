@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import exact_dedup, quality_rules
+from granary.llm import exact_dedup, quality_rules, simhash
 from granary.llm.common import table
 
 
@@ -25,9 +25,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_exact_copies(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.without_near_copies(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
 ]
 
 #: SimHash links, seeded selection and best-fit packing can't be put in SQL; tests compare with brute force.

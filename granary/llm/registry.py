@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_quality_rules": "quality_rules",
     "op3_exact_dedup": "exact_dedup",
+    "op7_simhash_near_dedup": "simhash",
 }
 
 
