@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import exact_dedup, quality_rules, simhash
+from granary.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from granary.llm.common import table
 
 
@@ -30,10 +30,22 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.without_near_copies(docs)
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
     ("SimHash near-dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
 ]
 
 #: SimHash links, seeded selection and best-fit packing can't be put in SQL; tests compare with brute force.

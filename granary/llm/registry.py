@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and module; each module has query(spark, sf_dir) and ORACLE (SQL, or None where SQL can't express it).
 MODULES = {
+    "op1_best_fit_packing": "packing",
     "op2_quality_rules": "quality_rules",
     "op3_exact_dedup": "exact_dedup",
     "op7_simhash_near_dedup": "simhash",
+    "op8_mixing": "mixing",
 }
 
 
