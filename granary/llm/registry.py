@@ -12,8 +12,11 @@ MODULES = {
     "op1_best_fit_packing": "packing",
     "op2_quality_rules": "quality_rules",
     "op3_exact_dedup": "exact_dedup",
+    "op4_extendible_sharding": "sharding",
+    "op5_secret_scan": "secrets",
     "op7_simhash_near_dedup": "simhash",
     "op8_mixing": "mixing",
+    "op10_warc_revisits": "warc",
 }
 
 
