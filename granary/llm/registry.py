@@ -16,6 +16,7 @@ MODULES = {
     "op5_secret_scan": "secrets",
     "op7_simhash_near_dedup": "simhash",
     "op8_mixing": "mixing",
+    "op9_license_scan": "licenses",
     "op10_warc_revisits": "warc",
 }
 
