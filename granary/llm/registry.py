@@ -14,6 +14,7 @@ MODULES = {
     "op3_exact_dedup": "exact_dedup",
     "op4_extendible_sharding": "sharding",
     "op5_secret_scan": "secrets",
+    "op6_toxicity": "toxicity",
     "op7_simhash_near_dedup": "simhash",
     "op8_mixing": "mixing",
     "op9_license_scan": "licenses",

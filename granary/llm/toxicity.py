@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import checkpointed, table
 
-SIZES = (3, 4, 5, 6)
+SIZES = (4, 5, 6)
 BITS = 20
 SAMPLE = 10_000
-FEATURES = 16_384
+FEATURES = 4096
 MIN_DOCS = 3
 ALPHA = 1.0
-L2 = 1e-4
-STEPS = 200
+L2 = 1e-5
+STEPS = 400
 SEED = 6
 HOLD_OUT, HELD = 4, 2
 THRESHOLD = 0.3
