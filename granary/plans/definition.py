@@ -7,11 +7,27 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.sources.tables import Tables
+
 
 @dataclass(frozen=True)
 class Query:
-    """A named query: how Spark runs it, and the SQL that must give the same rows."""
+    """A named query over a folder of tables, and the SQL that must give the same rows (None where SQL can't say it)."""
 
     key: str
-    run: Callable[[SparkSession, str], DataFrame]
+    build: Callable[[Tables], DataFrame]
     oracle: str | None = None
+
+    def run(self, spark: SparkSession, folder: str) -> DataFrame:
+        return self.build(Tables(spark, folder))
+
+
+class QuerySet(list):
+    """The queries of a module, added by a decorator named for the operator."""
+
+    def add(self, key: str, oracle: str | None = None) -> Callable:
+        def keep(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+            self.append(Query(key, build, oracle))
+            return build
+
+        return keep

@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.plans.definition import Query
 
-MODULES: list[str] = []
+MODULES = [
+    "granary.operators.scan",
+    "granary.operators.joins",
+    "granary.operators.aggregates",
+    "granary.operators.windows",
+    "granary.operators.sorting",
+    "granary.operators.setops",
+    "granary.operators.subqueries",
+    "granary.operators.scalars",
+]
 
 
 def definitions() -> dict[str, Query]:
