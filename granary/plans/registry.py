@@ -17,6 +17,9 @@ MODULES = [
     "granary.operators.setops",
     "granary.operators.subqueries",
     "granary.operators.scalars",
+    "granary.operators.changes",
+    "granary.operators.routing",
+    "granary.operators.streams",
 ]
 
 
