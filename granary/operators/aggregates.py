@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import compat
@@ -11,12 +11,15 @@ from granary.plans.definition import QuerySet
 from granary.sources.tables import Tables
 
 QUERIES = QuerySet()
-N = F.count(F.lit(1)).alias("n")
+
+
+def rows() -> Column:
+    return F.count(F.lit(1)).alias("n")
 
 
 @QUERIES.add("agg_count", "SELECT count(*) AS n, count(nullif(o_custkey % 3, 0)) AS some FROM orders")
 def agg_count(t: Tables) -> DataFrame:
-    return t.orders.agg(N, F.count(F.nullif(F.col("o_custkey") % 3, F.lit(0))).alias("some"))
+    return t.orders.agg(rows(), F.count(F.nullif(F.col("o_custkey") % 3, F.lit(0))).alias("some"))
 
 
 @QUERIES.add("agg_sum", f"SELECT CAST(sum(o_custkey) AS BIGINT) AS keys, {MONEY.format('o_totalprice')} AS total FROM orders")
@@ -26,7 +29,7 @@ def agg_sum(t: Tables) -> DataFrame:
 
 @QUERIES.add("agg_sum_empty", "SELECT CAST(sum(o_custkey) AS BIGINT) AS keys, count(*) AS n, min(o_orderkey) AS low FROM orders WHERE o_orderkey < 0")
 def agg_sum_empty(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey < 0").agg(F.sum("o_custkey").alias("keys"), N, F.min("o_orderkey").alias("low"))
+    return t.orders.where("o_orderkey < 0").agg(F.sum("o_custkey").alias("keys"), rows(), F.min("o_orderkey").alias("low"))
 
 
 @QUERIES.add("agg_minmax", "SELECT min(o_totalprice) AS low, max(o_totalprice) AS high, min(o_orderpriority) AS first, max(o_orderdate) AS latest FROM orders")
@@ -46,7 +49,7 @@ def agg_avg(t: Tables) -> DataFrame:
 
 @QUERIES.add("agg_multi", "SELECT count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high, CAST(sum(o_custkey) AS BIGINT) AS keys, avg(o_custkey) AS mean FROM orders WHERE o_orderstatus = 'O'")
 def agg_multi(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus = 'O'").agg(N, F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.sum("o_custkey").alias("keys"), F.avg("o_custkey").alias("mean"))
+    return t.orders.where("o_orderstatus = 'O'").agg(rows(), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.sum("o_custkey").alias("keys"), F.avg("o_custkey").alias("mean"))
 
 
 @QUERIES.add(
@@ -91,32 +94,32 @@ def agg_total_distinct(t: Tables) -> DataFrame:
 
 @QUERIES.add("agg_multi_distinct", "SELECT count(DISTINCT l_suppkey) AS supps, count(DISTINCT l_partkey) AS parts, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines, count(*) AS n FROM lineitem")
 def agg_multi_distinct(t: Tables) -> DataFrame:
-    return t.lineitem.agg(F.count_distinct("l_suppkey").alias("supps"), F.count_distinct("l_partkey").alias("parts"), F.sum_distinct("l_linenumber").alias("lines"), N)
+    return t.lineitem.agg(F.count_distinct("l_suppkey").alias("supps"), F.count_distinct("l_partkey").alias("parts"), F.sum_distinct("l_linenumber").alias("lines"), rows())
 
 
 @QUERIES.add("group_single", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def group_single(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").agg(N)
+    return t.orders.groupBy("o_orderpriority").agg(rows())
 
 
 @QUERIES.add("group_multi", f"SELECT o_orderstatus, o_orderpriority, count(*) AS n, {MONEY.format('o_totalprice')} AS total FROM orders GROUP BY o_orderstatus, o_orderpriority")
 def group_multi(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(N, money("o_totalprice").alias("total"))
+    return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(rows(), money("o_totalprice").alias("total"))
 
 
 @QUERIES.add("group_expr", "SELECT o_custkey % 10 AS b, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders GROUP BY o_custkey % 10")
 def group_expr(t: Tables) -> DataFrame:
-    return t.orders.groupBy((F.col("o_custkey") % 10).alias("b")).agg(N, F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    return t.orders.groupBy((F.col("o_custkey") % 10).alias("b")).agg(rows(), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
 
 
 @QUERIES.add("group_null_key", "SELECT nullif(o_custkey % 4, 0) AS k, count(*) AS n, avg(o_custkey) AS mean FROM orders GROUP BY 1")
 def group_null_key(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("k")).agg(N, F.avg("o_custkey").alias("mean"))
+    return t.orders.groupBy(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("k")).agg(rows(), F.avg("o_custkey").alias("mean"))
 
 
 @QUERIES.add("group_hidden_key", "SELECT count(*) AS n FROM orders GROUP BY o_orderpriority")
 def group_hidden_key(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_orderpriority").agg(N).select("n")
+    return t.orders.groupBy("o_orderpriority").agg(rows()).select("n")
 
 
 @QUERIES.add("group_no_agg", "SELECT o_orderpriority FROM orders GROUP BY o_orderpriority")
@@ -131,28 +134,28 @@ def group_count_distinct(t: Tables) -> DataFrame:
 
 @QUERIES.add("group_topk", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10 OFFSET 5")
 def group_topk(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(N).orderBy(F.desc("n"), "o_custkey").offset(5).limit(10)
+    return t.orders.where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(rows()).orderBy(F.desc("n"), "o_custkey").offset(5).limit(10)
 
 
 @QUERIES.add("having_agg", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 14")
 def having_agg(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(N).where("n > 14")
+    return t.orders.groupBy("o_custkey").agg(rows()).where("n > 14")
 
 
 @QUERIES.add("having_hidden", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 14")
 def having_hidden(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(N).where("n > 14").select("o_custkey")
+    return t.orders.groupBy("o_custkey").agg(rows()).where("n > 14").select("o_custkey")
 
 
 @QUERIES.add("having_bool", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15 OR NOT min(o_orderkey) >= 10")
 def having_bool(t: Tables) -> DataFrame:
-    found = t.orders.groupBy("o_custkey").agg(N, F.min("o_orderkey").alias("low"))
+    found = t.orders.groupBy("o_custkey").agg(rows(), F.min("o_orderkey").alias("low"))
     return found.where((F.col("n") > 15) | ~(F.col("low") >= 10)).select("o_custkey", "n")
 
 
 @QUERIES.add("having_group_isnull", "SELECT nullif(o_custkey % 4, 0) AS k, count(*) AS n FROM orders GROUP BY nullif(o_custkey % 4, 0) HAVING nullif(o_custkey % 4, 0) IS NULL OR count(*) > 1000000")
 def having_group_isnull(t: Tables) -> DataFrame:
-    found = t.orders.groupBy(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("k")).agg(N)
+    found = t.orders.groupBy(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("k")).agg(rows())
     return found.where(F.col("k").isNull() | (F.col("n") > 1000000))
 
 
@@ -179,12 +182,12 @@ def ext_json_group_object(t: Tables) -> DataFrame:
 
 @QUERIES.add("ext_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def ext_rollup(t: Tables) -> DataFrame:
-    return t.orders.rollup("o_orderstatus", "o_orderpriority").agg(N)
+    return t.orders.rollup("o_orderstatus", "o_orderpriority").agg(rows())
 
 
 @QUERIES.add("ext_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def ext_cube(t: Tables) -> DataFrame:
-    return t.orders.cube("o_orderstatus", "o_orderpriority").agg(N)
+    return t.orders.cube("o_orderstatus", "o_orderpriority").agg(rows())
 
 
 @QUERIES.add("ext_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from granary.plans.definition import QuerySet
 from granary.sources.tables import Tables
 
 QUERIES = QuerySet()
-BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_orderkey")
 SQL_BY_CUSTOMER = "(PARTITION BY o_custkey ORDER BY o_orderkey)"
-BY_STATUS = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
 SQL_BY_STATUS = "(PARTITION BY o_orderstatus ORDER BY o_orderpriority)"
 
 
+def by_customer() -> WindowSpec:
+    return Window.partitionBy("o_custkey").orderBy("o_orderkey")
+
+
+def by_status() -> WindowSpec:
+    return Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
+
+
 @QUERIES.add("win_row_number", f"SELECT o_orderkey, CAST(row_number() OVER {SQL_BY_CUSTOMER} AS INTEGER) AS r FROM orders")
 def win_row_number(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.row_number().over(BY_CUSTOMER).alias("r"))
+    return t.orders.select("o_orderkey", F.row_number().over(by_customer()).alias("r"))
 
 
 @QUERIES.add("win_row_number_global", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders")
@@ -27,12 +33,12 @@ def win_row_number_global(t: Tables) -> DataFrame:
 
 @QUERIES.add("win_rank", f"SELECT o_orderkey, CAST(rank() OVER {SQL_BY_STATUS} AS INTEGER) AS r FROM orders")
 def win_rank(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.rank().over(BY_STATUS).alias("r"))
+    return t.orders.select("o_orderkey", F.rank().over(by_status()).alias("r"))
 
 
 @QUERIES.add("win_dense_rank", f"SELECT o_orderkey, CAST(dense_rank() OVER {SQL_BY_STATUS} AS INTEGER) AS r FROM orders")
 def win_dense_rank(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.dense_rank().over(BY_STATUS).alias("r"))
+    return t.orders.select("o_orderkey", F.dense_rank().over(by_status()).alias("r"))
 
 
 @QUERIES.add("win_ntile", "SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS INTEGER) AS q FROM orders")
@@ -42,12 +48,12 @@ def win_ntile(t: Tables) -> DataFrame:
 
 @QUERIES.add("win_percent_rank", f"SELECT o_orderkey, round(percent_rank() OVER {SQL_BY_STATUS}, 9) AS p FROM orders")
 def win_percent_rank(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.round(F.percent_rank().over(BY_STATUS), 9).alias("p"))
+    return t.orders.select("o_orderkey", F.round(F.percent_rank().over(by_status()), 9).alias("p"))
 
 
 @QUERIES.add("win_cume_dist", f"SELECT o_orderkey, round(cume_dist() OVER {SQL_BY_STATUS}, 9) AS p FROM orders")
 def win_cume_dist(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.round(F.cume_dist().over(BY_STATUS), 9).alias("p"))
+    return t.orders.select("o_orderkey", F.round(F.cume_dist().over(by_status()), 9).alias("p"))
 
 
 @QUERIES.add("win_sum_total", "SELECT o_orderkey, CAST(sum(o_custkey) OVER () AS BIGINT) AS s FROM orders")
@@ -64,7 +70,7 @@ def win_share_of_group(t: Tables) -> DataFrame:
 
 @QUERIES.add("win_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) OVER {SQL_BY_CUSTOMER} AS before, lead(o_orderkey, 2, -1) OVER {SQL_BY_CUSTOMER} AS after FROM orders")
 def win_lag_lead(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.lag("o_orderkey").over(BY_CUSTOMER).alias("before"), F.lead("o_orderkey", 2, -1).over(BY_CUSTOMER).alias("after"))
+    return t.orders.select("o_orderkey", F.lag("o_orderkey").over(by_customer()).alias("before"), F.lead("o_orderkey", 2, -1).over(by_customer()).alias("after"))
 
 
 @QUERIES.add(
@@ -73,18 +79,18 @@ def win_lag_lead(t: Tables) -> DataFrame:
 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
 )
 def win_first_last(t: Tables) -> DataFrame:
-    w = BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = by_customer().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return t.orders.select("o_orderkey", F.first("o_orderkey").over(w).alias("first"), F.last("o_orderkey").over(w).alias("last"), F.nth_value("o_orderkey", 2).over(w).alias("second"))
 
 
 @QUERIES.add("win_rows_frame", "SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
 def win_rows_frame(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.sum("o_orderkey").over(BY_CUSTOMER.rowsBetween(-2, 0)).alias("s"))
+    return t.orders.select("o_orderkey", F.sum("o_orderkey").over(by_customer().rowsBetween(-2, 0)).alias("s"))
 
 
 @QUERIES.add("win_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS n FROM orders")
 def win_range_frame(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.count(F.lit(1)).over(BY_CUSTOMER.rangeBetween(-1000, 1000)).alias("n"))
+    return t.orders.select("o_orderkey", F.count(F.lit(1)).over(by_customer().rangeBetween(-1000, 1000)).alias("n"))
 
 
 @QUERIES.add("win_over_groups", "SELECT o_orderstatus, o_orderpriority, n, CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS INTEGER) AS r FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)")
