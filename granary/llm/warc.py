@@ -60,10 +60,14 @@ def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     heads = shared.groupBy("digest", "page_id", F.xxhash64("url").alias("tie")).agg(F.count(F.lit(1)).alias("same"))
     winners = checkpointed(heads.groupBy("digest").agg(F.max(F.struct("page_id", "tie", "same")).alias("w")))
     wins = F.col("page_id").eqNullSafe(F.col("w.page_id")) & (F.xxhash64("url") == F.col("w.tie"))
+    doubled = winners.where("w.same > 1")
     joined = shared.join(winners, "digest").withColumn("__wins", wins)
-    clear = joined.where(~(F.col("__wins") & (F.col("w.same") > 1)))
-    alike = shared.join(winners.where("w.same > 1"), "digest").where(wins)
-    alike = alike.withColumn("__wins", F.row_number().over(Window.partitionBy("digest").orderBy("page_id")) == 1)
+    if doubled.isEmpty():
+        clear, alike = joined, None
+    else:
+        clear = joined.where(~(F.col("__wins") & (F.col("w.same") > 1)))
+        alike = shared.join(doubled, "digest").where(wins)
+        alike = alike.withColumn("__wins", F.row_number().over(Window.partitionBy("digest").orderBy("page_id")) == 1)
 
     def named(df: DataFrame) -> DataFrame:
         return df.select(
@@ -71,7 +75,7 @@ def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             F.when(F.col("__wins"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("__wins"), F.col("w.page_id")).alias("refers_to"),
         )
 
-    found = named(clear).unionByName(named(alike))
+    found = named(clear) if alike is None else named(clear).unionByName(named(alike))
     return found.unionByName(own) if min_bytes > 0 else found
 
 
