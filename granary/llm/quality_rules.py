@@ -182,7 +182,9 @@ def without_rejected(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """The documents that the rules keep, with their columns. Reads the texts twice rather than shuffle them."""
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[text_col].alias("__t"), docs[lang_col].alias("__l"))
     rows = with_histograms(tokenised(inner, "__t", "__l", ["__row"]))
-    return with_verdict(base_counts(rows), references_from(rows)).where("kept").select("__row.*")
+    judged = with_verdict(base_counts(rows), references_from(rows))
+    # A row number keeps the optimizer from pushing the verdict, written out in full, down through all the projections.
+    return judged.select("__row", "kept", F.monotonically_increasing_id().alias("__at")).where("kept and __at >= 0").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
