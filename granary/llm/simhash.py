@@ -38,7 +38,7 @@ SEED = 42
 BUDGET = 4
 #: Entries that one traversal takes at a time, and pairs of nodes that it expands at a time.
 CHUNK_ROWS = 200_000
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 #: Sub-tries with more than this share of the entries are split; the smallest that Spark's summary allows.
 HOT_SHARE = 1e-4
 #: Bits below which a hot sub-trie is split into pairs of nodes, and the fewest entries for which that pays.
