@@ -31,6 +31,8 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "que", "est", "du", "qui", "dans"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por", "con", "para"],
 }
+#: Octets that these patterns' matches take are counted: upper, punct, symbol.
+PATTERNS = ["[A-Z]+", r"""[0-9.,;:!?'"()\-]+""", r"[#*$%&|<>]+"]
 CLASSES = ["upper", "punct", "space", "symbol", "accent", "lower"]
 N_COMMON = max(map(len, COMMON_WORDS.values()))
 WINDOW = 5
@@ -38,11 +40,11 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Texts below these lengths have histograms too coarse to judge.
 MIN_CHARS_CLASSES = 300
-MIN_WORDS_COMMON = 100
+MIN_WORDS_COMMON = 150
 #: A language needs as many words for a reference.
 MIN_REFERENCE_WORDS = 2000
 MAX_CLASS_DISTANCE = 0.26
-MAX_WORD_DISTANCE = 0.36
+MAX_WORD_DISTANCE = 0.29
 REPORT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
 
@@ -54,11 +56,6 @@ def _total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def _octets(text: Column, pattern: str) -> Column:
-    """Octets that the pattern's matches take."""
-    return _long(F.octet_length(text) - F.octet_length(F.regexp_replace(text, pattern, "")))
-
-
 def tokenised(docs: DataFrame, text_col: str, lang_col: str, keep: list[str]) -> DataFrame:
     """The ``keep`` columns, __text, __lang and __words."""
     return docs.select(*[docs[c] for c in keep], text_or_empty(docs[text_col]).alias("__text"), docs[lang_col].alias("__lang"), split_words(docs[text_col]).alias("__words"))
@@ -68,23 +65,24 @@ def with_histograms(rows: DataFrame) -> DataFrame:
     """Adds __n_words, __class (counts of CLASSES; accent: continuation octets of UTF-8; lower: the rest) and __common (counts of the language's words, all others last)."""
     text = F.col("__text")
     languages = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    counts = F.transform(F.array(*map(F.lit, PATTERNS)), lambda p: _long(F.octet_length("__text") - F.octet_length(F.regexp_replace("__text", p, F.lit("")))))
     step = rows.select(
         "*",
         _long(F.size("__words")).alias("__n_words"),
-        _octets(text, "[A-Z]+").alias("__upper"),
-        _octets(text, r"""[0-9.,;:!?'"()\-]+""").alias("__punct"),
+        counts.alias("__counts"),
         _long(F.octet_length(text) - F.octet_length(without_whitespace(text))).alias("__space"),
-        _octets(text, r"[#*$%&|<>]+").alias("__symbol"),
         _long(F.octet_length(text) - F.length(text)).alias("__accent"),
         _long(F.length(text)).alias("__chars"),
         languages[F.col("__lang")].alias("__list"),
     )
-    known = [F.col(f"__{c}") for c in CLASSES[:-1]]
+    upper, punct, symbol = (F.get("__counts", F.lit(i)) for i in range(3))
+    known = [upper, punct, F.col("__space"), symbol, F.col("__accent")]
     rest = F.greatest(F.col("__chars") - sum(known[1:], known[0]), F.lit(0).cast("long"))
-    found = [_long(F.size("__words") - F.size(F.array_remove(F.col("__words"), F.get("__list", F.lit(i))))) for i in range(N_COMMON)]
-    step = step.select("*", F.array(*known, rest).alias("__class"), F.when(F.col("__list").isNotNull(), F.array(*found)).alias("__w"))
+    # Lambdas keep these projections out of one generated method, which would grow too large for the JVM to compile.
+    found = F.transform("__list", lambda w: _long(F.size("__words") - F.size(F.array_remove("__words", w))))
+    step = step.select("*", F.array(*known, rest).alias("__class"), symbol.alias("__symbol"), found.alias("__w"))
     common = F.concat("__w", F.array(F.col("__n_words") - _total(F.col("__w"))))
-    return step.select("*", common.alias("__common")).drop("__w", "__list", "__upper", "__punct", "__accent")
+    return step.select("*", common.alias("__common")).drop("__w", "__list", "__counts", "__accent")
 
 
 def references_from(rows: DataFrame) -> DataFrame:
