@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars.
 
-Every step is an aggregation with map-side combination and a join, so a hub's
-edges never meet in one task unless AQE's skew join is off. Each round is
-checkpointed in the shared folder. Rounds grow with the logarithm of the
+Every step is an aggregation with map-side combination and a join. The
+aggregated side is checkpointed first, so that both sides of the join are
+plain shuffles, of which AQE can split the one that holds a hub's edges. Each
+round is checkpointed in the shared folder. Rounds grow with the logarithm of the
 component size.
 """
 
@@ -25,9 +26,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         after = _state(edges)

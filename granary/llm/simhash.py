@@ -238,8 +238,9 @@ def classified(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "__key_text")
     classes = checkpointed(rows.groupBy("fp").agg(F.min(first).alias("first")))
     roots = connected_components(class_links(classes.select("fp"), budget))
-    members = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = members.groupBy("root").agg(F.min("first").alias("first"))
+    members = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    # Checkpointed, so that the join's sides are plain shuffles and AQE can split a large component's.
+    best = checkpointed(members.groupBy("root").agg(F.min("first").alias("first")))
     return members.select("fp", "root").join(best, "root").select("fp", "first")
 
 
