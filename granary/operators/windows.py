@@ -1,4 +1,9 @@
-"""Window functions. A window without PARTITION BY is one task's work in any engine; explain() flags such plans."""
+"""Window functions.
+
+Spark runs a window without PARTITION BY in one task, and explain() flags such
+plans. Global totals are computed as one broadcast row and global row numbers
+by a range shuffle instead.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from granary.plans.definition import QuerySet
+from granary.plans.ordering import global_row_number
 from granary.sources.tables import Tables
 
 QUERIES = QuerySet()
@@ -28,7 +34,8 @@ def win_row_number(t: Tables) -> DataFrame:
 
 @QUERIES.add("win_row_number_global", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS r FROM orders")
 def win_row_number_global(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("r"))
+    numbered = global_row_number(t.orders.select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey", name="r")
+    return numbered.select("o_orderkey", F.col("r").cast("int").alias("r"))
 
 
 @QUERIES.add("win_rank", f"SELECT o_orderkey, CAST(rank() OVER {SQL_BY_STATUS} AS INTEGER) AS r FROM orders")

@@ -1,8 +1,10 @@
-"""Limits with a total order, so that a page is the same at any partition count."""
+"""Total orders: limits whose pages are the same at any partition count, and row numbers without a single-task window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,3 +18,37 @@ def page(df: DataFrame, *order: str | Column, limit: int | None = None, offset:
     ordered = df.orderBy(*keys, *[F.col(f"`{c}`") for c in df.columns])
     ordered = ordered.offset(offset) if offset else ordered
     return ordered if limit is None else ordered.limit(limit)
+
+
+#: monotonically_increasing_id() holds the partition above this bit and the row's place in it below.
+_PLACE_BITS = 33
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-checkpoint-"))
+    return df.checkpoint()
+
+
+def global_row_number(df: DataFrame, *order: str | Column, name: str) -> DataFrame:
+    """``df`` with row numbers from 1 in a global order, numbered in parallel.
+
+    A range shuffle sorts the rows over all partitions; each row's number is
+    its place in its partition plus the rows of the partitions before, of
+    which there is one count each.
+    """
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    # Checkpointed, so that both reads see one dealing of rows to partitions.
+    placed = checkpointed(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.monotonically_increasing_id().alias("__at")))
+    part = F.shiftright("__at", _PLACE_BITS)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # As many rows as there are partitions.
+    starts = F.broadcast(counts.select("__part", before.alias("__before")))
+    number = F.col("__before") + F.col("__at").bitwiseAND((1 << _PLACE_BITS) - 1) + 1
+    return placed.withColumn("__part", part).join(starts, "__part").select(*df.columns, number.alias(name))

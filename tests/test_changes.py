@@ -98,3 +98,12 @@ def test_schema_agreement(spark, tmp_path):
     assert agreed_schema(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).names == ["id"]
     with pytest.raises(SchemaDisagreement):
         agreed_schema(spark, [str(tmp_path / "a"), str(tmp_path / "c")])
+
+
+def test_global_row_number(spark):
+    from granary.plans.ordering import global_row_number
+
+    rows = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1009).alias("k"), "id")
+    got = global_row_number(rows, F.desc("k"), "id", name="r").collect()
+    assert [r.r for r in sorted(got, key=lambda r: (-r.k, r.id))] == list(range(1, 1001))
+    assert global_row_number(rows.limit(0), "k", name="r").count() == 0
