@@ -334,13 +334,11 @@ class Store:
         return self._commit(manifest, definition=changed)
 
     def placement(self) -> DataFrame:
-        """Rows in each bucket."""
+        """Rows in each bucket, counted in one pass that reads no column."""
         manifest = self.manifest()
         definition = Definition(**manifest["definition"])
-        parts = [self._rows(definition, [s]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(s["bucket"]).alias("bucket"), "n") for s in manifest["segments"]]
-        if not parts:
+        if not manifest["segments"]:
             return self.spark.createDataFrame([], "bucket int, n long")
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        return found.groupBy("bucket").agg(F.sum("n").alias("n"))
+        bucket = F.regexp_extract(F.col("_metadata.file_path"), rf"/{BUCKET}=(\d+)/", 1)
+        rows = self._rows(definition, manifest["segments"], [F.coalesce(F.nullif(bucket, F.lit("")), F.lit("0")).cast("int").alias(BUCKET)])
+        return rows.groupBy(F.col(BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
