@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.plans.definition import QuerySet
+from granary.sources.shared import scratch
 from granary.sources.tables import Tables
 
 QUERIES = QuerySet()
@@ -55,14 +53,6 @@ def as_stream(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='granary-')}/scratch-{uuid.uuid4().hex}"
-
-
 @QUERIES.add("cdc_stream", "SELECT user_id AS k, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
 def cdc_stream(t: Tables) -> DataFrame:
     """Drains a change stream through Structured Streaming into a file sink and reads what arrived."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.shared import checkpointed
+
 
 def page(df: DataFrame, *order: str | Column, limit: int | None = None, offset: int = 0) -> DataFrame:
     """``df`` by ``order`` and then by all output columns, from ``offset``, at most ``limit`` rows.
@@ -24,17 +24,6 @@ def page(df: DataFrame, *order: str | Column, limit: int | None = None, offset:
 _PLACE_BITS = 33
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-checkpoint-"))
-    return df.checkpoint()
-
-
 def global_row_number(df: DataFrame, *order: str | Column, name: str) -> DataFrame:
     """``df`` with row numbers from 1 in a global order, numbered in parallel.
 
