@@ -6,13 +6,10 @@ and returns a DataFrame that is written and reread as the next one's docs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import exact_dedup, mixing, packing, quality_rules, simhash
-from granary.llm.common import table
+from granary.llm.common import scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,17 +49,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder for stage tables in the folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='granary-pipeline-')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents; each stage reads what the one before wrote."""
-    folder, docs = _folder(spark), table(spark, sf_dir, "documents")
+    folder, docs = scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}.parquet"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)

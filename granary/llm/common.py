@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.shared import checkpointed, scratch
+
+__all__ = ["KEY_NAMES", "WS_CHARS", "WS_RUN", "checkpointed", "keep_rows", "require", "row_key", "scratch", "split_words", "table", "text_or_empty", "without_whitespace"]
+
 #: The six characters that separate words.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
@@ -33,17 +36,6 @@ def without_whitespace(text: Column) -> Column:
     return text
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder, so that a lost executor costs no recomputation and row ids stay."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="granary-checkpoint-"))
-    return df.checkpoint()
-
-
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Identifies a row by id and text, nulls included, as plain equi-join columns."""
     return [

@@ -2,10 +2,12 @@
 
 1. Fingerprints: one pass over the texts leaves a narrow checkpointed table.
 2. Equal fingerprints form a class; copies are never expanded into pairs.
-3. Trie self-join over the classes. Two fingerprints within the error budget
-   agree on some BLOCKS - budget of BLOCKS blocks of bits. For each choice of
-   such blocks the trie starts with those bits, where no error is allowed, so
-   its sub-tries are independent and are dealt out by those bits. Inside them
+3. Trie self-join over the classes. Of budget + c blocks of bits, two
+   fingerprints within the error budget agree on c. For each choice of c
+   blocks the trie starts with those bits, where no error is allowed, so its
+   sub-tries are independent and are dealt out by those bits. c follows the
+   number of classes, so that sub-tries stay small; it changes the work and
+   never the links. Inside them
    pairs of nodes are traversed together, level by level: the children of a
    pair that differ in the bit add one error, and a pair over the budget is
    pruned. A pair of nodes that is connected already is pruned as well, so a
@@ -44,6 +46,8 @@ HOT_SHARE = 1e-4
 #: Bits below which a hot sub-trie is split into pairs of nodes, and the fewest entries for which that pays.
 SPLIT_BITS = 5
 HOT_ROWS = 20_000
+#: Classes that a sub-trie holds on average at most.
+SUB_TRIE = 64
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -82,12 +86,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return checkpointed(rows.mapInArrow(hashed, "doc_id long, __key_text long, fp long"))
 
 
-def block_masks(budget: int) -> list[int]:
-    """Signed masks of all choices of two out of budget + 2 blocks of the 64 bits: at most ``budget`` errors leave two blocks clean."""
-    n = budget + 2
+def clean_blocks(n_classes: int, budget: int) -> int:
+    """How many blocks the tries start with: the fewest that leave about SUB_TRIE classes in a sub-trie."""
+    return next((c for c in (2, 3) if n_classes <= SUB_TRIE * 2 ** (64 * c / (budget + c))), 4)
+
+
+def block_masks(budget: int, clean: int = 2) -> list[int]:
+    """Signed masks of all choices of ``clean`` out of budget + clean blocks of the 64 bits: at most ``budget`` errors leave so many blocks clean."""
+    n = budget + clean
     edges = [round(64 * i / n) for i in range(n + 1)]
     blocks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
-    masks = [a | b for a, b in combinations(blocks, 2)]
+    masks = [sum(c) for c in combinations(blocks, clean)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -206,9 +215,9 @@ def _node_pairs(bits: int, budget: int) -> list[list[int]]:
     return [[min(a, b) * size + max(a, b) for b in range(size) if (a ^ b).bit_count() <= budget] for a in range(size)]
 
 
-def class_links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
+def class_links(classes: DataFrame, budget: int = BUDGET, clean: int = 2) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` at ``budget`` or fewer differing bits."""
-    masks = block_masks(budget)
+    masks = block_masks(budget, clean)
     entries = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("trie"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("e")).select("fp", "e.trie", "e.key")
     hot = _hot_keys(entries)
     free = _free_bits(masks, SPLIT_BITS)
@@ -237,7 +246,7 @@ def classified(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
     """For each distinct fp of fingerprints(): fp and the first row of its component (smallest id, null ids last) as ``first``."""
     first = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "__key_text")
     classes = checkpointed(rows.groupBy("fp").agg(F.min(first).alias("first")))
-    roots = connected_components(class_links(classes.select("fp"), budget))
+    roots = connected_components(class_links(classes.select("fp"), budget, clean_blocks(classes.count(), budget)))
     members = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     # Checkpointed, so that the join's sides are plain shuffles and AQE can split a large component's.
     best = checkpointed(members.groupBy("root").agg(F.min("first").alias("first")))

@@ -22,14 +22,12 @@ aren't read.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed, table
+from granary.llm.common import checkpointed, scratch, table
 
 MIN_BYTES = 0
 ARCHIVE_BYTES = 32 << 20
@@ -174,16 +172,8 @@ def resolved(records: DataFrame) -> DataFrame:
     return responses.select(*kept, "payload_bytes", F.lit(None).cast("long").alias("refers_to")).unionByName(joined.drop("refers_to_record")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='granary-warc-')}/warc-{uuid.uuid4().hex}"
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark)
+    path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return resolved(read_warc(spark, path))
 

@@ -151,9 +151,23 @@ def _entries(spark, signed):
     return spark.createDataFrame([(f, i, f & m) for f in signed for i, m in enumerate(masks)], "fp long, trie long, key long")
 
 
-def test_blocks_cover_every_error_pattern():
+@pytest.mark.parametrize("clean", [3, 4])
+def test_more_clean_blocks_link_the_same(spark, clean):
+    fps = near_values(10)
+    signed = [f - (1 << 64) * (f >> 63) for f in fps]
+    classes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    want, got = (sorted(map(tuple, connected_components(simhash.class_links(classes, clean=c)).collect())) for c in (2, clean))
+    assert want == got and want
+
+
+def test_clean_blocks_follow_the_number_of_classes():
+    assert [simhash.clean_blocks(n, 4) for n in (0, 10**6, 10**9, 10**11)] == [2, 2, 3, 4]
+
+
+@pytest.mark.parametrize("clean", [2, 3, 4])
+def test_blocks_cover_every_error_pattern(clean):
     rng = np.random.default_rng(3)
-    masks = simhash.block_masks(4)
+    masks = simhash.block_masks(4, clean)
     for _ in range(500):
         errors = sum(1 << int(p) for p in rng.choice(64, 4, replace=False))
         assert any(not m & errors for m in masks)
