@@ -82,6 +82,8 @@ class Store:
         self.spark, self.path = spark, path
         self.folder = Folder(spark, path)
         self._pending: dict | None = None
+        self._notes: list[tuple[DataFrame, str]] = []
+        #: Called with the changed rows and put or delete, once their version is published.
         self.on_commit: list[Callable[[DataFrame, str], None]] = []
 
     @classmethod
@@ -132,12 +134,18 @@ class Store:
         self._pending = dict(base)
         try:
             yield self
-            following = self._pending
-            self._pending = None
+            following, notes = self._pending, self._notes
+            self._pending, self._notes = None, []
             if following != base:
                 self._publish(following | {"version": base["version"] + 1})
+                self._tell(notes)
         finally:
-            self._pending = None
+            self._pending, self._notes = None, []
+
+    def _tell(self, notes: list[tuple[DataFrame, str]]) -> None:
+        for rows, op in notes:
+            for tell in self.on_commit:
+                tell(rows, op)
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes all but the last ``keep`` versions and what only they name; returns the number of segments deleted. No writer may be at work."""
@@ -210,8 +218,10 @@ class Store:
         return rows.select(*[(F.col(f"`{c['name']}`") if c["name"] in rows.columns else F.lit(None)).cast(c["type"]).alias(c["name"]) for c in definition.columns])
 
     def _done(self, version: int, rows: DataFrame, op: str, returning: bool, n: int | None = None) -> Outcome:
-        for tell in self.on_commit:
-            tell(rows, op)
+        if self._pending is None:
+            self._tell([(rows, op)])
+        else:
+            self._notes.append((rows, op))
         return Outcome(version, rows.count() if n is None else n, rows if returning else None)
 
     def _segments_of(self, batch: list[dict], definition: Definition) -> DataFrame:
