@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from granary.llm import exact_dedup, mixing, near_copies, packing, quality_rules
 from granary.llm.common import scratch, table
 
 
@@ -23,8 +23,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.without_near_copies(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return near_copies.without_near_copies(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
-    ("SimHash near-dedup", near_stage),
+    ("near-dedup", near_stage),
     ("mixing", mixing_stage),
     ("best-fit packing", packing_stage),
 ]
 
-#: SimHash links, seeded selection and best-fit packing can't be put in SQL; tests compare with brute force.
+#: Near-copy links, seeded selection and best-fit packing can't be put in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
