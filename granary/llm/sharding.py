@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from granary.llm.common import checkpointed, row_key, table, text_or_empty
+from granary.llm.common import checkpointed, row_key, scratch, table, text_or_empty
 
 LIMIT_BYTES = 64 << 20
 KEY_BITS = 96
@@ -34,18 +35,16 @@ MAX_CELL_BITS = 20
 BROADCAST_BITS = 14
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, bytes, bits and row_key() of each row, checkpointed."""
+def _bits(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """bytes and bits of each row."""
     first = F.conv(F.substring(F.md5(F.coalesce(docs[id_col].cast("string"), F.lit(""))), 1, 8), 16, 2)
     second = F.conv(F.hex(F.xxhash64(F.monotonically_increasing_id())), 16, 2)
-    return checkpointed(
-        docs.select(
-            docs[id_col].alias("doc_id"),
-            F.octet_length(text_or_empty(docs[text_col])).cast("long").alias("bytes"),
-            F.concat(F.lpad(first, 32, "0"), F.lpad(second, 64, "0")).alias("bits"),
-            *row_key(id_col, text_col),
-        )
-    )
+    return [F.octet_length(text_or_empty(docs[text_col])).cast("long").alias("bytes"), F.concat(F.lpad(first, 32, "0"), F.lpad(second, 64, "0")).alias("bits")]
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, bytes, bits and row_key() of each row, checkpointed."""
+    return checkpointed(docs.select(docs[id_col].alias("doc_id"), *_bits(docs, id_col, text_col), *row_key(id_col, text_col)))
 
 
 def assign(rows: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
@@ -83,15 +82,28 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> None:
-    """Writes all rows as Parquet, a folder for each shard. Rows alike in id and text share one shard, the first of theirs."""
-    names = ["__key_id", "__key_null", "__key_text"]
-    places = assign(keyed(docs, id_col, text_col), limit).groupBy(*names).agg(F.min("shard").alias("__shard"))
-    placed = docs.select("*", *row_key(id_col, text_col)).join(places, names).select(*docs.columns, F.concat(F.lit("s"), "__shard").alias("__shard"))
+    """Writes all rows as Parquet, a folder for each shard, as shards() reports them.
+
+    Each row is first staged with its own bits, so rows alike in id and text are told apart as assign() does it.
+    """
+    staged = scratch(docs.sparkSession, "staged")
+    docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), *_bits(docs, id_col, text_col)).write.option("compression", "zstd").parquet(staged)
+    placed = assign(docs.sparkSession.read.parquet(staged), limit).select("__row.*", F.concat(F.lit("s"), "shard").alias("__shard"))
     placed.repartition("__shard").write.mode("overwrite").partitionBy("__shard").parquet(path)
 
 
+def written_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of shards() from what write_shards() wrote of ``docs``: bytes and rows are counted in the folders."""
+    schema = StructType([*docs.schema.fields, StructField("__shard", StringType())])
+    rows = docs.sparkSession.read.schema(schema).parquet(path).select(F.col(id_col).alias("doc_id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("bytes"), F.substring("__shard", 2, KEY_BITS).alias("shard"))
+    sums = rows.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
+    return rows.join(sums, "shard").select("doc_id", "bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards(table(spark, sf_dir, "documents"))
+    docs, path = table(spark, sf_dir, "documents"), scratch(spark, "shards")
+    write_shards(docs, path)
+    return written_shards(docs, path)
 
 
 ORACLE = f"""
