@@ -121,3 +121,9 @@ def cdc_replay(t: Tables) -> DataFrame:
 @QUERIES.add("cdc_as_of", _replayed("lsn <= 300"))
 def cdc_as_of(t: Tables) -> DataFrame:
     return as_of(_base(t), _log(t), ["k"], epoch=1, lsn=300)
+
+
+@QUERIES.add("cdc_as_of_middle", _replayed("lsn <= (SELECT max(event_id) // 2 FROM events)"))
+def cdc_as_of_middle(t: Tables) -> DataFrame:
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    return as_of(_base(t), _log(t), ["k"], epoch=1, lsn=last // 2)

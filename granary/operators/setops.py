@@ -107,3 +107,40 @@ def ext_union_by_name(t: Tables) -> DataFrame:
 def ext_distinct_on(t: Tables) -> DataFrame:
     # The first row by order key of each customer: a minimum needs no sort and no window.
     return t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+
+# The same operations with two large sides, split by values over the whole table.
+
+
+@QUERIES.add("union_all_whole", "SELECT o_custkey % 7 AS k FROM orders WHERE o_totalprice < 400000 UNION ALL SELECT o_custkey % 7 FROM orders WHERE o_totalprice > 200000")
+def union_all_whole(t: Tables) -> DataFrame:
+    return _keys(t, 7, "o_totalprice < 400000").unionAll(_keys(t, 7, "o_totalprice > 200000"))
+
+
+@QUERIES.add("union_distinct_whole", "SELECT o_custkey % 7 AS k FROM orders WHERE o_totalprice < 400000 UNION SELECT o_custkey % 7 FROM orders WHERE o_totalprice > 200000")
+def union_distinct_whole(t: Tables) -> DataFrame:
+    return _keys(t, 7, "o_totalprice < 400000").union(_keys(t, 7, "o_totalprice > 200000")).distinct()
+
+
+@QUERIES.add("intersect_whole", "SELECT o_custkey % 100000 AS k FROM orders WHERE o_totalprice < 400000 INTERSECT SELECT o_custkey % 100000 FROM orders WHERE o_totalprice > 200000")
+def intersect_whole(t: Tables) -> DataFrame:
+    return _keys(t, 100000, "o_totalprice < 400000").intersect(_keys(t, 100000, "o_totalprice > 200000"))
+
+
+@QUERIES.add("intersect_all_whole", "SELECT o_custkey % 5 AS k FROM orders WHERE o_totalprice < 400000 INTERSECT ALL SELECT o_custkey % 5 FROM orders WHERE o_totalprice > 200000")
+def intersect_all_whole(t: Tables) -> DataFrame:
+    return _keys(t, 5, "o_totalprice < 400000").intersectAll(_keys(t, 5, "o_totalprice > 200000"))
+
+
+@QUERIES.add("except_all_whole", "SELECT o_custkey % 5 AS k FROM orders WHERE o_totalprice < 400000 EXCEPT ALL SELECT o_custkey % 5 FROM orders WHERE o_totalprice > 200000")
+def except_all_whole(t: Tables) -> DataFrame:
+    return _keys(t, 5, "o_totalprice < 400000").exceptAll(_keys(t, 5, "o_totalprice > 200000"))
+
+
+@QUERIES.add("setop_mixed_whole", "(SELECT o_custkey % 100000 AS k FROM orders WHERE o_totalprice < 400000 UNION SELECT o_custkey % 100000 FROM orders WHERE o_totalprice > 200000) EXCEPT SELECT o_custkey % 100000 FROM orders WHERE o_orderpriority = '1-URGENT'")
+def setop_mixed_whole(t: Tables) -> DataFrame:
+    return _keys(t, 100000, "o_totalprice < 400000").union(_keys(t, 100000, "o_totalprice > 200000")).distinct().subtract(_keys(t, 100000, "o_orderpriority = '1-URGENT'"))
+
+
+@QUERIES.add("setop_agg_branches_whole", "SELECT count(*) AS n FROM orders WHERE o_totalprice < 400000 UNION ALL SELECT max(c_custkey) FROM customer UNION ALL SELECT count(DISTINCT o_custkey) FROM orders GROUP BY o_orderstatus")
+def setop_agg_branches_whole(t: Tables) -> DataFrame:
+    return t.orders.where("o_totalprice < 400000").agg(F.count(F.lit(1)).alias("n")).unionAll(t.customer.agg(F.max("c_custkey"))).unionAll(t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n")).select("n"))
