@@ -1,92 +1,101 @@
-"""Near copies by the similarity of their five-word shingles, checked exactly.
-
-Texts are linked whose sets of word shingles have a Jaccard similarity of
-SIMILARITY or more. A 64-bit SimHash would need a budget of 14 bits to see such
-pairs (measured), which is far too wide for a trie, so candidates come from
-MinHash bands.
-
-1. One pass over the texts: a hash of the shingle set (equal sets form a class),
-   BANDS band hashes of BAND_ROWS minima each, and an octet of each minimum.
-2. Each class is paired with the smallest class of each of its buckets. Pairs
-   whose octets agree too rarely for the similarity go; the others' texts are
-   compared exactly, and the links are joined to components.
-3. Pairs of one bucket that are still in different components are compared as
-   well. Connected groups are thus never expanded into all their pairs, and the
-   result is that of comparing every pair that shares a bucket.
-
-A pair at the similarity 0.8 shares no bucket with a probability of 0.00007,
-(1 - 0.8 ** 5) ** 24, and is lost by MIN_EQUAL with less than 0.00001; that is
-the method's only loss.
+"""The pipeline's near-dedup: SimHash and the trie self-join of simhash.py, set for a similarity of 0.8.
+
+Texts are linked whose sets of five-word shingles have a Jaccard similarity of
+SIMILARITY or more, checked exactly. Such a pair differs in 9.7 of 64 bits on
+average, far beyond the budget that blocks of a 64-bit fingerprint can carry,
+so the fingerprint has WORDS * 64 bits, and the tries start with seeded choices
+of its bits instead of blocks:
+
+1. One pass over the texts leaves a hash of each shingle set (equal sets form a
+   class) and its SimHash.
+2. Each of several tries starts with PREFIX_BITS or more bits, chosen by a
+   seed. Two classes that agree on them meet in a sub-trie of the first BITS
+   bits, where node pairs are traversed together and pruned beyond BUDGET
+   errors. There are as many tries as a pair at exactly SIMILARITY needs to be
+   found with a probability of RECALL. The prefix follows the number of
+   classes, so that sub-tries stay small, and the number of tries follows the
+   prefix; RECALL stays.
+3. The links' components are candidate groups. In each group the shingle sets
+   themselves are compared, all with all, by blocks of BLOCK_BYTES; a group of
+   one block is one piece of work, a larger one a piece for each two blocks.
+   Only links that connect are given back, never a group's pairs.
+4. The verified links' components are the groups of which one document stays.
+
+Shingle sets are made and shuffled for classes in candidate groups alone. A
+sub-trie of more than HOT_ROWS entries is taken for one candidate group as it
+stands, by an aggregation, which can only add comparisons.
 
 Defined results: texts without words are alike; a text of fewer words than a
-shingle is one shingle; A-Z are lower-cased; the smallest id of each component
-stays (null ids last); an empty table gives an empty result.
+shingle is one shingle; A-Z are lower-cased; a text of any length is compared
+whole; the smallest id of each component stays (null ids last), and of rows
+alike in id and text one; an empty table gives an empty result; other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import KEY_NAMES, checkpointed, keep_rows, row_key
+from granary.llm import simhash
+from granary.llm.common import KEY_NAMES, checkpointed, hash_filter, keep_rows, row_key, with_hit
 from granary.llm.components import connected_components
+from granary.llm.simhash import Forest, by_bucket, decided, first_row, hot_keys, join_tries, small, with_first
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SEED = 42
-BANDS = 24
-BAND_ROWS = 5
-#: Equal octets of the 120 below which a pair isn't compared; at a similarity of 0.8 they are 96 on average, with a deviation of 4.4.
-MIN_EQUAL = 74
-#: Shingles that are hashed at a time.
-CHUNK = 4096
+WORDS = 8
+#: The share of bits in which a pair at SIMILARITY differs: the angle whose cosine is 2 * 0.8 / 1.8, by pi.
+ERROR_SHARE = 0.1514
+#: Of the first BITS bits a pair at SIMILARITY differs in 19.4 on average with a deviation of 4.1, so that 0.5 % are beyond BUDGET.
+BITS, BUDGET = 128, 30
+RECALL = 0.98
+PREFIX_BITS, MAX_PREFIX = 12, 32
+#: Classes that a sub-trie holds on average at most.
+SUB_TRIE = 64
+BLOCK_BYTES = 1 << 20
 
 
 def shingle_set(text: bytes | None, shingle_words: int = SHINGLE_WORDS):
-    """Ascending distinct 64-bit hashes of a UTF-8 text's shingles."""
+    """Distinct 128-bit hashes of a UTF-8 text's shingles as two uint64 columns, ascending by the first."""
     import numpy as np
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return np.empty(0, np.uint64)
+        return np.empty((0, 2), np.uint64)
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     k = min(shingle_words, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+    digest = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]), "<u8").reshape(-1, 2)
+    return hashes[np.unique(hashes[:, 0], return_index=True)[1]]
 
 
-def similarity(a, b) -> float:
-    """Jaccard similarity of two shingle sets; empty ones are alike."""
+def wide_fingerprint(hashes) -> list[int]:
+    """The SimHash of a shingle set as WORDS signed longs; words after the first two are made of both halves of each hash."""
     import numpy as np
 
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def minima(hashes):
-    """BANDS * BAND_ROWS minima of a shingle set under seeded hash functions."""
-    import numpy as np
-
-    rng = np.random.default_rng(SEED)
-    factors = rng.integers(0, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    masks = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
-    found = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), CHUNK):
-        mixed = (hashes[i : i + CHUNK, None] ^ masks) * factors
-        found = np.minimum(found, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-    return found
+    ones = np.zeros(64 * WORDS, np.int64)
+    odd = np.arange(1, 2 * WORDS - 4, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i in range(0, len(hashes), 1024):
+        part = hashes[i : i + 1024]
+        more = (part[:, :1] + odd) * (part[:, 1:] | np.uint64(1))
+        more ^= more >> np.uint64(32)
+        more *= np.uint64(0xBF58476D1CE4E5B9)
+        more ^= more >> np.uint64(29)
+        ones += np.unpackbits(np.concatenate([part, more], axis=1).view(np.uint8).reshape(-1, 8 * WORDS), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view("<i8").tolist()
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key()'s __key_text, node (hash of the shingle set), bands and octets of each row, checkpointed."""
+    """doc_id, __key_text of row_key(), node (hash of the shingle set) and words (its SimHash) of each row, checkpointed."""
 
     def signed(batches: Iterator) -> Iterator:
         import numpy as np
@@ -94,80 +103,159 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         import xxhash
 
         for batch in batches:
-            nodes, bands, octets = [], [], []
+            nodes, words = [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py())
-                low = minima(hashes)
                 nodes.append(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
-                bands.append([np.uint64(xxhash.xxh64_intdigest(low[BAND_ROWS * i : BAND_ROWS * (i + 1)].tobytes(), i)).astype(np.int64) for i in range(BANDS)])
-                octets.append((low >> np.uint64(40)).astype(np.uint8).tobytes())
-            columns = [batch.column("doc_id"), batch.column("__key_text"), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(octets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__key_text", "node", "bands", "octets"])
+                words.append(wide_fingerprint(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__key_text"), pa.array(nodes, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["doc_id", "__key_text", "node", "words"])
+
+    text, ident = docs[text_col], docs[id_col]
+    rows = docs.select(ident.cast("long").alias("doc_id"), row_key(text, ident)[-1], text.cast("binary").alias("text"))
+    return checkpointed(rows.mapInArrow(signed, "doc_id long, __key_text long, node long, words array<long>"))
+
+
+def prefix_bits(n_classes: int) -> int:
+    return min(MAX_PREFIX, max(PREFIX_BITS, ceil(log2(max(1, n_classes) / SUB_TRIE))))
+
+
+def n_tries(prefix: int) -> int:
+    """Tries of which one holds a pair at SIMILARITY with a probability of RECALL, with the loss by BUDGET."""
+    within = sum(comb(BITS, d) * ERROR_SHARE**d * (1 - ERROR_SHARE) ** (BITS - d) for d in range(BUDGET + 1))
+    return ceil(log(1 - RECALL / within) / log(1 - (1 - ERROR_SHARE) ** prefix))
+
+
+def prefix_masks(prefix: int) -> list[tuple[int, int]]:
+    """(word, signed mask) of the bits with which each trie starts. Choices don't overlap before all words are used up."""
+    import numpy as np
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col)[-1], F.col(text_col).cast("binary").alias("text"))
-    return checkpointed(rows.mapInArrow(signed, "doc_id long, __key_text long, node long, bands array<long>, octets binary"))
+    rng, found = np.random.default_rng(SEED), []
+    while len(found) < n_tries(prefix):
+        order = [rng.permutation(64) for _ in range(WORDS)]
+        found += [(w, simhash.signed(sum(1 << int(p) for p in order[w][at : at + prefix]))) for at in range(0, 65 - prefix, prefix) for w in range(WORDS)]
+    return found[: n_tries(prefix)]
 
 
-def _promising(batches: Iterator) -> Iterator:
-    """Pairs whose octets agree often enough."""
+def _joined(rows):
+    """Links of the nodes in each bucket: rows of key, high, low, node."""
+    import numpy as np
+
+    nodes, member = np.unique(rows[:, 3], return_inverse=True)
+    high, low = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
+    order = np.lexsort((low, high, rows[:, 0]))
+    keys = rows[order, 0]
+    forest = Forest(len(nodes))
+    join_tries(np.r_[0, np.cumsum(keys[1:] != keys[:-1])], [high[order], low[order]], member[order], forest, BUDGET)
+    member, root = forest.stars()
+    return nodes[member], nodes[root]
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the classes (node, words) which meet in a trie within BUDGET."""
+    n = classes.count()
+    masks = prefix_masks(prefix_bits(n))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.get("words", F.lit(w)).bitwiseAND(F.lit(m))) for i, (w, m) in enumerate(masks)])
+    entries = classes.select(F.explode(keys).alias("key"), *[F.get("words", F.lit(i)).alias(c) for i, c in enumerate(("high", "low"))], "node")
+    hot = hot_keys(entries, ["key"], n * len(masks))
+    stars = None
+    if hot is not None:
+        tagged = entries.join(small(hot.withColumn("hot", F.lit(True))), "key", "left")
+        held = tagged.where("hot").select("key", "node")
+        stars = held.join(held.groupBy("key").agg(F.min("node").alias("least")), "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        entries = tagged.where("hot is null").select("key", "high", "low", "node")
+    links = entries.repartition("key").sortWithinPartitions("key").mapInArrow(by_bucket(_joined, 1, "ab"), "a long, b long")
+    return links if stars is None else links.unionByName(stars)
+
+
+def similar_links(sets: list):
+    """Stars (member, root) that connect the sets (uint64 arrays) at SIMILARITY or more; two sets without members are alike."""
+    import numpy as np
+
+    forest = Forest(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    none = np.flatnonzero(sizes == 0)
+    forest.unite(none[1:], none[:-1])
+    full = np.flatnonzero(sizes)
+    if len(full) > 1:
+        values, codes = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+        sizes = sizes[full]
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        seen = np.zeros(len(values), bool)
+        for i, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+            if (forest.root[full] == forest.root[full[0]]).all():
+                break
+            own = codes[start : start + size]
+            seen[own] = True
+            both = np.add.reduceat(seen[codes], starts, dtype=np.int64)
+            seen[own] = False
+            near = np.flatnonzero(both >= SIMILARITY * (sizes + size - both))
+            forest.unite(full[near], np.full(len(near), full[i]))
+    return forest.stars()
+
+
+def _verified(batches: Iterator) -> Iterator:
+    """Links of the similar nodes in each piece of work: rows of root, x, y, node, hashes, sorted by the first three."""
     import numpy as np
     import pyarrow as pa
 
+    def solve(held):
+        member, root = similar_links([np.frombuffer(x, "<u8") for _, x in held])
+        return [(held[m][0], held[r][0]) for m, r in zip(member.tolist(), root.tolist(), strict=True)]
+
+    def batch_of(links):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    at, held = None, []
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * BAND_ROWS) for c in ("octets_a", "octets_b"))
-        keep = pa.array((a == b).sum(axis=1) >= MIN_EQUAL)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+        links = []
+        for root, x, y, node, hashes in zip(*[batch.column(c).to_pylist() for c in ("root", "x", "y", "node", "hashes")], strict=True):
+            if (root, x, y) != at:
+                links += solve(held) if len(held) > 1 else []
+                at, held = (root, x, y), []
+            held.append((node, hashes))
+        yield batch_of(links)
+    yield batch_of(solve(held) if len(held) > 1 else [])
 
 
-def _similar(batches: Iterator) -> Iterator:
-    """Pairs whose texts are similar."""
+def _set_of(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        keep = pa.array([similarity(shingle_set(x), shingle_set(y)) >= SIMILARITY for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-
-def _with_ends(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    """``pairs`` with the column of both nodes."""
-    for end in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col(column).alias(f"{column}_{end}")), end)
-    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
-
-
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b) that connect the similar nodes of ``classes`` (node, first, bands, octets)."""
-    entries = classes.select("node", F.explode("bands").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "low")
-    shared = checkpointed(entries.join(sizes, "bucket"))
-    linked = shared.select("node").distinct()
-    ends = checkpointed(classes.join(linked, "node", "left_semi").select("node", "first", "octets"))
-    keys = ends.select("node", F.coalesce("first.doc_id", F.lit(0)).alias("__key_id"), F.col("first.is_null").alias("__key_null"), F.col("first.__key_text").alias("__key_text"))
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"), *row_key(id_col, text_col)).join(keys, KEY_NAMES).dropDuplicates(["node"]).select("node", "text")
-    texts = checkpointed(texts)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        near = checkpointed(_with_ends(pairs, ends, "octets").mapInArrow(_promising, "a long, b long"))
-        return checkpointed(_with_ends(near, texts, "text").mapInArrow(_similar, "a long, b long"))
-
-    stars = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    first = checked(stars)
-    roots = connected_components(first)
-    placed = shared.join(roots, "node", "left").select("bucket", "node", "low", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("bucket")
-    open_ = checkpointed(placed.join(several, "bucket", "left_semi"))
-    left, right = (open_.select("bucket", *[F.col(c).alias(f"{c}_{end}") for c in ("node", "root")], *(["low"] if end == "a" else [])) for end in "ab")
-    rest = left.join(right, "bucket").where("node_a < node_b and root_a <> root_b and node_a <> low")
-    return first.unionByName(checked(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()))
+        found = [shingle_set(t.as_py())[:, 0].tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY_NAMES], pa.array(found, pa.binary())], names=[*KEY_NAMES, "hashes"])
+
+
+def member_sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """root, node and hashes of each class in ``groups`` (node, root), checkpointed. Rows that a filter of fixed size rules out aren't shuffled."""
+    keys = [F.coalesce("first.doc_id", F.lit(0)).alias("__key_id"), F.col("first.is_null").alias("__key_null"), F.col("first.__key_text").alias("__key_text")]
+    members = checkpointed(groups.join(classes, "node").select("root", "node", *keys))
+    code = F.xxhash64(*KEY_NAMES)
+    rows = docs.select(*row_key(docs[text_col], docs[id_col]), docs[text_col].cast("binary").alias("text"))
+    wanted = with_hit(rows, "__hit", code, hash_filter(members.select(code.alias("h")))).where("__hit").select(*KEY_NAMES, "text")
+    sets = wanted.mapInArrow(_set_of, "__key_id long, __key_null boolean, __key_text long, hashes binary").dropDuplicates(KEY_NAMES)
+    return checkpointed(sets.join(members, KEY_NAMES).select("root", "node", "hashes"))
+
+
+def verified_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the similar nodes of each group."""
+    blocks = F.ceil(F.sum(F.octet_length("hashes")) / BLOCK_BYTES).cast("long")
+    groups = checkpointed(sets.groupBy("root").agg(F.greatest(blocks, F.lit(1)).alias("blocks")))
+    placed = sets.join(groups, "root").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    pieces = placed.select("root", "node", "hashes", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    pieces = pieces.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "hashes")
+    return pieces.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(_verified, "a long, b long")
+
+
+def near_classes(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """node, first and best (the first row of its group) for each class of signatures()."""
+    classes = checkpointed(rows.groupBy("node").agg(F.min(first_row()).alias("first"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words")))
+    found = checkpointed(connected_components(candidate_links(classes.select("node", "words"))))
+    groups = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    links = verified_links(member_sets(docs, classes.select("node", "first"), groups, id_col, text_col))
+    return with_first(classes.select("node", "first", "n"), links, "node")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with all columns."""
-    first = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "__key_text")
     rows = signatures(docs, id_col, text_col)
-    classes = checkpointed(rows.groupBy("node").agg(F.min(first).alias("first"), F.first("bands").alias("bands"), F.first("octets").alias("octets")))
-    roots = connected_components(links(docs, classes, id_col, text_col))
-    members = classes.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    best = members.groupBy("root").agg(F.min("first").alias("first"))
-    keys = best.select(F.coalesce("first.doc_id", F.lit(0)).alias("__key_id"), F.col("first.is_null").alias("__key_null"), F.col("first.__key_text").alias("__key_text"))
-    return keep_rows(docs, keys, id_col, text_col)
+    return keep_rows(docs, decided(rows, near_classes(docs, rows, id_col, text_col), "node"), id_col, text_col)

@@ -63,7 +63,7 @@ def candidates(docs: DataFrame, rules: Sequence[Rule], id_col: str, text_col: st
     spark = docs.sparkSession
     lines = [(place[g], k, i, 1 << b, (1 << len(c)) - 1) for k, (i, c) in enumerate(clauses) for b, g in enumerate(sorted(c))]
     terms = spark.createDataFrame(lines, "gram int, clause int, rule int, bit long, whole long")
-    folded = docs.select(*row_key(id_col, text_col), F.lower(text_or_empty(text_col)).alias("__low"))
+    folded = docs.select(*row_key(docs[text_col], docs[id_col]), F.lower(text_or_empty(text_col)).alias("__low"))
     found = F.array_compact(F.array(*[F.when(F.contains("__low", F.lit(g)), F.lit(i)) for g, i in place.items()]))
     postings = folded.select(*KEY_NAMES, F.explode(found).alias("gram"))
     hits = postings.join(F.broadcast(terms), "gram").groupBy(*KEY_NAMES, "clause", "rule", "whole").agg(F.bit_or("bit").alias("bits"))
@@ -103,7 +103,7 @@ def _spans(name: str, starts: str, rule: Rule, order: int) -> Column:
 def with_spans(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = (*BASE_RULES, *MORE_RULES)) -> DataFrame:
     """The ``keep`` columns and, for each rule, spans_<kind>: an array of (start, order, end, kind, checked) in code points."""
     full = {i for i, r in enumerate(rules) if trigram_query(r.pattern) == ALWAYS}
-    keyed = docs.select(*[docs[c] for c in keep], text_or_empty(docs[text_col]).alias("__text"), *row_key(id_col, text_col))
+    keyed = docs.select(*[docs[c] for c in keep], text_or_empty(docs[text_col]).alias("__text"), *row_key(docs[text_col], docs[id_col]))
     joined = keyed.join(candidates(docs, rules, id_col, text_col), KEY_NAMES, "left")
     due = {i: F.col("__text").rlike(r.pattern) if i in full else F.array_contains("__rules", i) & F.col("__text").rlike(r.pattern) for i, r in enumerate(rules)}
     step = joined.select(*keep, *[F.when(due[i], _lengths(F.col("__text"), r)).alias(f"__l{i}") for i, r in enumerate(rules)])

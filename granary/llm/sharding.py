@@ -44,7 +44,7 @@ def _bits(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, bytes, bits and row_key() of each row, checkpointed."""
-    return checkpointed(docs.select(docs[id_col].alias("doc_id"), *_bits(docs, id_col, text_col), *row_key(id_col, text_col)))
+    return checkpointed(docs.select(docs[id_col].alias("doc_id"), *_bits(docs, id_col, text_col), *row_key(docs[text_col], docs[id_col])))
 
 
 def assign(rows: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:

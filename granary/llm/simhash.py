@@ -14,25 +14,29 @@
    dense group yields a spanning forest and not all its pairs.
 4. Links between classes are joined to components; see components.py.
 
-Sub-tries that hold more than a ten-thousandth of all entries are found by a
-Misra-Gries summary (whose size is fixed, so it is broadcast) and split into
-pairs of deeper nodes, which are dealt out as tasks of their own.
+A sub-trie with many entries is split by the same argument over its own free
+bits: two fingerprints in it that are within the budget agree on c of
+budget + c blocks of those. So it becomes finer sub-tries, again and again
+until they are small: those over HOT_ROWS entries, found by exact counts, by
+Spark, those over TRAVERSED entries inside their task.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
-any other; a null id links too but names no component unless all ids in it
-are null; repeated rows share a component; an empty table gives an empty
-result; other columns aren't read.
+any other; a text of any length is hashed whole, by one task; a null id links
+too but names no component unless all ids in it are null; repeated rows share
+a component; an empty table gives an empty result; other columns aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed, keep_rows, row_key, table
+from granary.llm.common import KEY_NAMES, checkpointed, keep_rows, row_key, table
 from granary.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -41,11 +45,14 @@ BUDGET = 4
 #: Entries that one traversal takes at a time, and pairs of nodes that it expands at a time.
 CHUNK_ROWS = 200_000
 FRONTIER = 1 << 17
-#: Sub-tries with more than this share of the entries are split; the smallest that Spark's summary allows.
-HOT_SHARE = 1e-4
-#: Bits below which a hot sub-trie is split into pairs of nodes, and the fewest entries for which that pays.
-SPLIT_BITS = 5
-HOT_ROWS = 20_000
+#: Entries above which a sub-trie is split, by Spark and within a task.
+HOT_ROWS = 200_000
+TRAVERSED = 2048
+#: Cells in which entries are counted first, and hot sub-tries that may be broadcast.
+CELLS = 1 << 17
+MAX_BROADCAST = 100_000
+#: Free bits up to which a sub-trie isn't split further; it has at most 2 ** FREE_BITS fingerprints.
+FREE_BITS = 16
 #: Classes that a sub-trie holds on average at most.
 SUB_TRIE = 64
 
@@ -72,7 +79,7 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and row_key() of each row, checkpointed."""
+    """doc_id, __key_text of row_key() and fp of each row, checkpointed."""
 
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -81,8 +88,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = pa.array([fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__key_text"), fps], names=["doc_id", "__key_text", "fp"])
 
-    key = row_key(id_col, text_col)[-1]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key, F.col(text_col).cast("binary").alias("text"))
+    text, ident = docs[text_col], docs[id_col]
+    rows = docs.select(ident.cast("long").alias("doc_id"), row_key(text, ident)[-1], text.cast("binary").alias("text"))
     return checkpointed(rows.mapInArrow(hashed, "doc_id long, __key_text long, fp long"))
 
 
@@ -91,51 +98,77 @@ def clean_blocks(n_classes: int, budget: int) -> int:
     return next((c for c in (2, 3) if n_classes <= SUB_TRIE * 2 ** (64 * c / (budget + c))), 4)
 
 
-def block_masks(budget: int, clean: int = 2) -> list[int]:
-    """Signed masks of all choices of ``clean`` out of budget + clean blocks of the 64 bits: at most ``budget`` errors leave so many blocks clean."""
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+@cache
+def finer_masks(mask: int, budget: int, clean: int = 2) -> list[int]:
+    """``mask`` (signed) with each choice of ``clean`` out of budget + clean blocks of its free bits: at most ``budget`` errors leave so many blocks clean."""
+    free = [p for p in range(64) if not mask >> p & 1]
     n = budget + clean
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    blocks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
-    masks = [sum(c) for c in combinations(blocks, clean)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    edges = [round(len(free) * i / n) for i in range(n + 1)]
+    blocks = [sum(1 << p for p in free[edges[i] : edges[i + 1]]) for i in range(n)]
+    return [signed((mask % (1 << 64)) | sum(c)) for c in combinations(blocks, clean)]
 
 
-def trie_links(bucket, fps, budget: int = BUDGET):
-    """Links that connect, within each bucket, the fingerprints at ``budget`` or fewer differing bits.
+def block_masks(budget: int, clean: int = 2) -> list[int]:
+    """The masks with which the tries start."""
+    return finer_masks(0, budget, clean)
 
-    bucket: ascending numbers; fps: uint64, ascending and distinct within a
-    bucket. Returns index arrays (member, root): a star for each component.
-    """
-    import numpy as np
 
-    n = len(fps)
-    parent = np.arange(n)
+class Forest:
+    """Components of members 0 to n - 1; the root of each is its smallest member."""
+
+    def __init__(self, n: int):
+        import numpy as np
+
+        self.root = np.arange(n)
+
+    def unite(self, a, b) -> None:
+        import numpy as np
 
-    def unite(a, b) -> None:
-        nonlocal parent
         while len(a):
-            ra, rb = parent[a], parent[b]
-            open_ = ra != rb
-            if not open_.any():
+            ra, rb = self.root[a], self.root[b]
+            apart = ra != rb
+            if not apart.any():
                 return
-            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-            np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(up := parent[parent], parent):
-                parent = up
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+    def stars(self):
+        """(member, root) of all members that aren't roots."""
+        import numpy as np
+
+        members = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return members, self.root[members]
+
+
+def join_tries(bucket, words: Sequence, member, forest: Forest, budget: int) -> None:
+    """Unites the members whose fingerprints in one bucket differ in ``budget`` bits or fewer.
+
+    bucket: ascending numbers; words: uint64 arrays, which make up the
+    fingerprints, first bits first; entries ascend by bucket and fingerprint.
+    """
+    import numpy as np
+
+    n = len(bucket)
 
     def near(a, b):
-        return np.bitwise_count(fps[a] ^ fps[b]) <= budget
+        return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words) <= budget
 
     for lag in (1, 2, 3):  # neighbours in order first: dense groups are then connected before the traversal
         a = np.flatnonzero(bucket[:-lag] == bucket[lag:]) if n > lag else np.empty(0, np.int64)
         a = a[near(a, a + lag)]
-        unite(a, a + lag)
+        forest.unite(member[a], member[a + lag])
 
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if n else np.empty(0, np.int64)
     stops = np.r_[starts[1:], n] if n else starts
     many = stops - starts > 1
     lo, hi = starts[many], stops[many]
-    stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    stack = [(64 * len(words) - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int16))]
     while stack:
         bit, al, ah, bl, bh, errors = stack.pop()
         if len(al) > FRONTIER:
@@ -146,14 +179,16 @@ def trie_links(bucket, fps, budget: int = BUDGET):
         if leaf.any():
             a, b = al[leaf], bl[leaf]
             ok = near(a, b)
-            unite(a[ok], b[ok])
-        changes = np.r_[0, np.cumsum(parent[1:] != parent[:-1])]
-        known = (parent[al] == parent[bl]) & (changes[al] == changes[ah - 1]) & (changes[bl] == changes[bh - 1])
+            forest.unite(member[a[ok]], member[b[ok]])
+        root = forest.root[member]
+        changes = np.r_[0, np.cumsum(root[1:] != root[:-1])]
+        known = (root[al] == root[bl]) & (changes[al] == changes[ah - 1]) & (changes[bl] == changes[bh - 1])
         todo = ~(leaf | known)
         if bit < 0 or not todo.any():
             continue
         al, ah, bl, bh, errors = (x[todo] for x in (al, ah, bl, bh, errors))
-        ones = np.r_[0, np.cumsum((fps >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)]
+        word = words[len(words) - 1 - bit // 64]
+        ones = np.r_[0, np.cumsum((word >> np.uint64(bit % 64)) & np.uint64(1), dtype=np.int64)]
         am, bm = ah - (ones[ah] - ones[al]), bh - (ones[bh] - ones[bl])
         other = al != bl
         parts = [
@@ -166,105 +201,168 @@ def trie_links(bucket, fps, budget: int = BUDGET):
         live = (ah > al) & (bh > bl) & (errors <= budget) & ~((al == bl) & (ah - al == 1))
         if live.any():
             stack.append((bit - 1, *(x[live] for x in (al, ah, bl, bh, errors))))
-    members = np.flatnonzero(parent != np.arange(n))
-    return members, parent[members]
 
 
-def _links_of_partition(budget: int):
+def trie_links(masks, fps, budget: int = BUDGET):
+    """Links (a, b) of fingerprints that connect those which agree on their mask's bits and differ in ``budget`` bits or fewer. masks, fps: int64, one of each for an entry."""
+    import numpy as np
+
+    values, member = np.unique(fps, return_inverse=True)
+    bits = values.view(np.uint64)
+    forest = Forest(len(values))
+
+    def joined(masks, member, split: bool) -> list[tuple[int, object]]:
+        """Joins the sub-tries; returns mask and members of those that are to be split."""
+        own = bits[member]
+        key = own & masks.view(np.uint64)
+        order = np.lexsort((own, key, masks))
+        masks, member, own, key = masks[order], member[order], own[order], key[order]
+        bucket = np.r_[0, np.cumsum((masks[1:] != masks[:-1]) | (key[1:] != key[:-1]))]
+        if not split or len(member) <= TRAVERSED or (size := np.bincount(bucket)).max() <= TRAVERSED:
+            join_tries(bucket, [own], member, forest, budget)
+            return []
+        large = np.flatnonzero(size > TRAVERSED)
+        small = size[bucket] <= TRAVERSED
+        join_tries(bucket[small], [own[small]], member[small], forest, budget)
+        edges = np.r_[0, np.cumsum(size)]
+        return [(int(masks[edges[i]]), member[edges[i] : edges[i + 1]]) for i in large]
+
+    todo = joined(masks, member, True) if len(fps) else []
+    while todo:
+        mask, own = todo.pop()
+        a = np.flatnonzero(np.bitwise_count(bits[own[1:]] ^ bits[own[:-1]]) <= budget)
+        forest.unite(own[a], own[a + 1])
+        finer = finer_masks(mask, budget) if 64 - (mask % (1 << 64)).bit_count() > FREE_BITS else [mask]
+        for m in finer:
+            if (forest.root[own] != forest.root[own[0]]).any():
+                todo += joined(np.full(len(own), m, np.int64), own, len(finer) > 1)
+    member, root = forest.stars()
+    return values[member], values[root]
+
+
+def by_bucket(solve, n_keys: int, names: Sequence[str]):
+    """For mapInArrow over rows of longs, sorted by their first ``n_keys`` columns: applies ``solve`` to arrays of about CHUNK_ROWS rows with whole buckets, or to one larger bucket."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def solve(rows):
-            new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
-            distinct = np.r_[True, new[1:] | (rows[1:, 2] != rows[:-1, 2])]
-            fps = rows[distinct, 2]
-            member, root = trie_links(np.cumsum(new)[distinct], fps.view(np.uint64), budget)
-            return pa.RecordBatch.from_arrays([pa.array(fps[member]), pa.array(fps[root])], names=["a", "b"])
+        def solved(held):
+            rows = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in solve(rows)], names=list(names))
 
         held: list = []
+        n = 0
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
-            if sum(map(len, held)) >= CHUNK_ROWS:
-                rows = np.concatenate(held)
-                cut = int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))[-1]) + 1 if (rows[0, :2] != rows[-1, :2]).any() else 0
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if n >= CHUNK_ROWS:
+                same = (rows[:, :n_keys] == held[-1][-1, :n_keys]).all(axis=1)
+                cut = len(rows) if same.all() else int(np.argmin(same))
                 if cut:
-                    yield solve(_ordered(rows[:cut]))
-                held = [rows[cut:]]
-        if held and sum(map(len, held)):
-            yield solve(_ordered(np.concatenate(held)))
+                    held.append(rows[:cut])
+                if cut < len(rows):
+                    yield solved(held)
+                    held, n, rows = [], 0, rows[cut:]
+                else:
+                    continue
+            if len(rows):
+                held.append(rows)
+                n += len(rows)
+        if held:
+            yield solved(held)
 
     return run
 
 
-def _ordered(rows):
-    """Rows by trie, bucket and unsigned fingerprint."""
-    import numpy as np
-
-    return rows[np.lexsort((np.ascontiguousarray(rows[:, 2]).view(np.uint64), rows[:, 1], rows[:, 0]))]
-
-
-def _free_bits(masks: list[int], bits: int) -> list[list[int]]:
-    """For each mask the highest ``bits`` bit positions outside it."""
-    return [[p for p in range(63, -1, -1) if not (m >> p) & 1][:bits] for m in masks]
+def hot_keys(entries: DataFrame, names: Sequence[str], n_entries: int) -> DataFrame | None:
+    """Keys with more than HOT_ROWS of the ``n_entries`` entries, checkpointed, or None. Counted exactly: first by cells, whose number is fixed, then in full cells by key."""
+    if n_entries <= HOT_ROWS:
+        return None
+    cell = F.pmod(F.xxhash64(*names), F.lit(CELLS)).alias("__cell")
+    cells = checkpointed(entries.select(cell).groupBy("__cell").count().where(F.col("count") > HOT_ROWS).select("__cell"))
+    if cells.isEmpty():
+        return None
+    sizes = entries.select(*names, cell).join(F.broadcast(cells), "__cell").groupBy(*names).count()
+    found = checkpointed(sizes.where(F.col("count") > HOT_ROWS).select(*names))
+    return None if found.isEmpty() else found
 
 
-def _node_pairs(bits: int, budget: int) -> list[list[int]]:
-    """For each node at depth ``bits`` the numbers of the pairs within the budget that it is in."""
-    size = 1 << bits
-    return [[min(a, b) * size + max(a, b) for b in range(size) if (a ^ b).bit_count() <= budget] for a in range(size)]
+def small(rows: DataFrame) -> DataFrame:
+    """Broadcast only below a checked number of rows; else Spark chooses the join."""
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST else rows
 
 
 def class_links(classes: DataFrame, budget: int = BUDGET, clean: int = 2) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` at ``budget`` or fewer differing bits."""
     masks = block_masks(budget, clean)
-    entries = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("trie"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("e")).select("fp", "e.trie", "e.key")
-    hot = _hot_keys(entries)
-    free = _free_bits(masks, SPLIT_BITS)
-    node = F.element_at(
-        F.array(*[sum((F.shiftleft(F.shiftrightunsigned("fp", p).bitwiseAND(F.lit(1).cast("long")), SPLIT_BITS - 1 - i) for i, p in enumerate(f)), F.lit(0).cast("long")) for f in free]), F.col("trie").cast("int") + 1
-    )
-    pairs = F.array(*[F.array(*[F.lit(x).cast("long") for x in p]) for p in _node_pairs(SPLIT_BITS, budget)])
-    tagged = entries.join(F.broadcast(hot), ["trie", "key"], "left")
-    split = tagged.select("fp", "trie", "key", F.explode(F.when(F.col("hot"), F.element_at(pairs, node.cast("int") + 1)).otherwise(F.array(F.lit(0).cast("long")))).alias("pair"))
-    dealt = split.select((F.col("trie") * (1 << (2 * SPLIT_BITS)) + F.col("pair")).alias("trie"), "key", "fp")
-    dealt = dealt.repartition("trie", "key").sortWithinPartitions("trie", "key")
-    return dealt.mapInArrow(_links_of_partition(budget), "a long, b long")
-
-
-def _hot_keys(entries: DataFrame) -> DataFrame:
-    """Sub-tries to split; at most 1/HOT_SHARE of them."""
-    name = F.concat_ws(":", F.col("trie").cast("string"), F.col("key").cast("string")).alias("k")
-    maybe = entries.select(name).stat.freqItems(["k"], HOT_SHARE).select(F.explode("k_freqItems").alias("k"))
-    part = F.split("k", ":")
-    maybe = maybe.select(part[0].cast("long").alias("trie"), part[1].cast("long").alias("key"))
-    sizes = entries.join(F.broadcast(maybe), ["trie", "key"]).groupBy("trie", "key").count()
-    return sizes.where(F.col("count") > HOT_ROWS).select("trie", "key", F.lit(True).alias("hot"))
+    key = F.col("fp").bitwiseAND(F.col("mask")).alias("key")
+    entries = classes.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("mask", key, "fp")
 
+    def refined(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def classified(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """For each distinct fp of fingerprints(): fp and the first row of its component (smallest id, null ids last) as ``first``."""
-    first = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "__key_text")
-    classes = checkpointed(rows.groupBy("fp").agg(F.min(first).alias("first")))
-    roots = connected_components(class_links(classes.select("fp"), budget, clean_blocks(classes.count(), budget)))
-    members = checkpointed(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+        for batch in batches:
+            mask, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "fp"))
+            parts = [(np.full(len(own), m, np.int64), own & m, own) for k in np.unique(mask) for own in [fps[mask == k]] for m in finer_masks(int(k), budget)]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["mask", "key", "fp"])
+
+    n_entries = len(masks) * classes.count()
+    while (hot := hot_keys(entries.where(F.bit_count("mask") < 64 - FREE_BITS), ["mask", "key"], n_entries)) is not None:
+        tagged = entries.join(small(hot.withColumn("hot", F.lit(True))), ["mask", "key"], "left")
+        entries = checkpointed(tagged.where("hot is null").select("mask", "key", "fp").unionByName(tagged.where("hot").select("mask", "key", "fp").mapInArrow(refined, "mask long, key long, fp long")))
+        n_entries = entries.count()
+    dealt = entries.repartition("mask", "key").sortWithinPartitions("mask", "key")
+
+    def solve(rows):
+        import numpy as np
+
+        return trie_links(np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 2]), budget)
+
+    return dealt.mapInArrow(by_bucket(solve, 2, "ab"), "a long, b long")
+
+
+def first_row() -> Column:
+    """The row that stands for its group: the smallest id, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "__key_text")
+
+
+def with_first(classes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """Adds the first row of its component, ``best``, to each class (``key``, first, n)."""
+    members = checkpointed(classes.join(connected_components(links).withColumnRenamed("node", key), key, "left").select(key, "first", "n", F.coalesce("root", key).alias("root")))
     # Checkpointed, so that the join's sides are plain shuffles and AQE can split a large component's.
-    best = checkpointed(members.groupBy("root").agg(F.min("first").alias("first")))
-    return members.select("fp", "root").join(best, "root").select("fp", "first")
+    best = checkpointed(members.groupBy("root").agg(F.min("first").alias("best")))
+    return members.join(best, "root").select(key, "first", "n", "best")
+
+
+def classified(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """fp, first, n (rows) and best for each distinct fp of fingerprints()."""
+    classes = checkpointed(rows.groupBy("fp").agg(F.min(first_row()).alias("first"), F.count(F.lit(1)).alias("n")))
+    return with_first(classes, class_links(classes.select("fp"), budget, clean_blocks(classes.count(), budget)), "fp")
+
+
+def decided(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """row_key() and __kept of each row: the first of each component stays; where rows alike in id and text are the first, their key stands there as dropped too."""
+    best = F.struct(F.coalesce("best.doc_id", F.lit(0)), F.col("best.is_null"), F.col("best.__key_text"))
+    names = [F.coalesce("doc_id", F.lit(0)).alias("__key_id"), F.col("doc_id").isNull().alias("__key_null"), "__key_text"]
+    joined = rows.select(key, *names).join(found.select(key, "best", "n"), key)
+    settled = checkpointed(joined.select(*KEY_NAMES, (F.struct(*KEY_NAMES) == best).alias("__kept"), (F.col("n") > 1).alias("__shared")))
+    alike = settled.where("__kept and __shared").groupBy(*KEY_NAMES).count().where("count > 1").select(*KEY_NAMES, F.lit(False).alias("__kept"))
+    return settled.select(*KEY_NAMES, "__kept").unionByName(alike)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """A row for each document: doc_id, fingerprint, component_id."""
     rows = fingerprints(docs, id_col, text_col)
     found = rows.join(classified(rows, budget), "fp")
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """The document with the smallest id of each component, with all columns."""
-    first = classified(fingerprints(docs, id_col, text_col), budget).select("first").distinct()
-    keys = first.select(F.coalesce("first.doc_id", F.lit(0)).alias("__key_id"), F.col("first.is_null").alias("__key_null"), F.col("first.__key_text").alias("__key_text"))
-    return keep_rows(docs, keys, id_col, text_col)
+    rows = fingerprints(docs, id_col, text_col)
+    return keep_rows(docs, decided(rows, classified(rows, budget), "fp"), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

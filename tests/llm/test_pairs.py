@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from granary.llm import exact_dedup, simhash
+from granary.llm import common, exact_dedup, simhash
 from granary.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -122,39 +123,84 @@ def near_values(seed, n=200):
     return sorted({c ^ sum(1 << int(p) for p in rng.choice(64, int(rng.integers(0, 7)), replace=False)) for c in centres for _ in range(n // 12)})
 
 
+def linked(n, pairs):
+    """Root of each place under links of places."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+def as_signed(fps):
+    return [f - (1 << 64) * (f >> 63) for f in fps]
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_trie_links_by_brute_force(seed, monkeypatch):
+@pytest.mark.parametrize("traversed", [2048, 8])
+def test_trie_links_by_brute_force(seed, traversed, monkeypatch):
     monkeypatch.setattr(simhash, "FRONTIER", 50)  # so that the traversal is cut into parts
+    monkeypatch.setattr(simhash, "TRAVERSED", traversed)  # so that sub-tries are split within the task
     fps = near_values(seed)
-    member, root = simhash.trie_links(np.zeros(len(fps), int), np.array(fps, np.uint64))
-    want = slow_components(fps)
-    assert dict(zip(member.tolist(), root.tolist(), strict=True)) == {i: r for i, r in enumerate(want) if r != i}
+    signed = as_signed(fps)
+    a, b = simhash.trie_links(np.zeros(len(fps), np.int64), np.array(signed, np.int64))
+    place = {f: i for i, f in enumerate(signed)}
+    assert linked(len(fps), [(place[x], place[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]) == slow_components(fps)
+
 
+def test_one_dense_sub_trie_is_split():
+    """Fingerprints that share 22 leading bits: the same links as brute force has among some of them, in a few seconds."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 2**42, 60_000, dtype=np.uint64) | np.uint64(0x2AAAAA << 42))
+    near = fps[:300] ^ np.uint64(0b1011)
+    fps = np.unique(np.concatenate([fps, near]))
+    a, b = simhash.trie_links(np.full(len(fps), simhash.signed(((1 << 22) - 1) << 42), np.int64), fps.view(np.int64))
+    root = {}
 
-@pytest.mark.parametrize("hot_rows,chunk", [(20_000, 200_000), (3, 40)])
+    def find(x):
+        while x in root:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if find(x) != find(y):
+            root[find(x)] = find(y)
+    signed = fps.view(np.int64)
+    some = rng.choice(len(fps), 400, replace=False).tolist() + np.searchsorted(fps, near).tolist()
+    for i in some:
+        close = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4)
+        assert len({find(int(signed[k])) for k in close}) == 1
+        assert len(close) > 1 or int(signed[i]) not in root
+
+
+@pytest.mark.parametrize("hot_rows,chunk", [(200_000, 200_000), (4, 40)])
 def test_class_links_with_and_without_split_sub_tries(spark, monkeypatch, hot_rows, chunk):
     monkeypatch.setattr(simhash, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(simhash, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(simhash, "MAX_BROADCAST", 3)
     fps = near_values(9)
-    signed = [f - (1 << 64) * (f >> 63) for f in fps]
+    signed = as_signed(fps)
+    if hot_rows == 4:
+        masks = simhash.block_masks(4)
+        entries = spark.createDataFrame([(m, f & m) for f in signed for m in masks], "mask long, key long")
+        want = {k for k, n in Counter((m, f & m) for f in signed for m in masks).items() if n > 4}
+        assert {tuple(r) for r in simhash.hot_keys(entries, ["mask", "key"], 10**6).collect()} == want and want
     links = simhash.class_links(spark.createDataFrame([(f,) for f in signed], "fp long"))
-    if hot_rows == 3:
-        assert simhash._hot_keys(_entries(spark, signed)).count() > 0
     roots = {r.node: r.root for r in connected_components(links).collect()}
     groups = slow_components(fps)
     want = {s: min(signed[k] for k in range(len(fps)) if groups[k] == g) for s, g in zip(signed, groups, strict=True)}
     assert roots == {n: r for n, r in want.items() if n != r}
 
 
-def _entries(spark, signed):
-    masks = simhash.block_masks(4)
-    return spark.createDataFrame([(f, i, f & m) for f in signed for i, m in enumerate(masks)], "fp long, trie long, key long")
-
-
 @pytest.mark.parametrize("clean", [3, 4])
 def test_more_clean_blocks_link_the_same(spark, clean):
     fps = near_values(10)
-    signed = [f - (1 << 64) * (f >> 63) for f in fps]
+    signed = as_signed(fps)
     classes = spark.createDataFrame([(f,) for f in signed], "fp long")
     want, got = (sorted(map(tuple, connected_components(simhash.class_links(classes, clean=c)).collect())) for c in (2, clean))
     assert want == got and want
@@ -180,3 +226,26 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(1, 80)}}
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_keep_rows_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 17)
+    rows = [(i if i % 11 else None, f"t{i % 37}" if i % 13 else None) for i in range(400)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.lit(1)).withColumn("__key_id", F.lit("x")).withColumn("__at", F.lit(2))
+    keep = {r for r in rows if hash(str(r)) % 3}
+    decided = spark.createDataFrame([(*r, r in keep) for r in rows] + [(*r, False) for r in keep], "doc_id long, text string, __kept boolean")
+    decided = decided.select(*common.row_key(decided["text"], decided["doc_id"]), "__kept")
+    for bits in (15, 17, 27):  # so few that most rows hit
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        left = common.keep_rows(docs, decided)
+        got = Counter((r.doc_id, r.text) for r in left.collect())
+        assert left.columns == docs.columns and got == Counter(keep)
+
+
+def test_hash_filter_never_misses(spark):
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 32767, 32768, *range(1000, 90_000, 777)]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    found = common.hash_filter(rows, 20)
+    assert common.with_hit(rows, "hit", F.col("v"), found, 20).where("not hit").count() == 0
+    others = spark.range(200_000, 210_000).select(F.col("id").alias("v"))
+    assert common.with_hit(others, "hit", F.col("v"), found, 20).where("hit").count() == sum(v % 2**20 in {x % 2**20 for x in values} for v in range(200_000, 210_000))
