@@ -23,7 +23,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near copies (SimHash of five-word shingles, similarity 0.8 or more) stays."""
     return near_copies.without_near_copies(docs)
 
 
@@ -40,7 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
-    ("near-dedup", near_stage),
+    ("SimHash near-dedup", near_stage),
     ("mixing", mixing_stage),
     ("best-fit packing", packing_stage),
 ]
