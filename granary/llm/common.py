@@ -38,12 +38,12 @@ def without_whitespace(text: Column) -> Column:
     return text
 
 
-def row_key(text: Column, ident: Column) -> list[Column]:
-    """Identifies a row by id and text, nulls included, as plain equi-join columns."""
+def row_key(text: Column, ident: Column, *more: Column) -> list[Column]:
+    """Identifies a row by id, text and what else tells rows apart, nulls included, as plain equi-join columns."""
     return [
         F.coalesce(ident.cast("long"), F.lit(0)).alias("__key_id"),
         ident.isNull().alias("__key_null"),
-        F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("__key_text"),
+        F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), *more).alias("__key_text"),
     ]
 
 
@@ -73,8 +73,8 @@ def with_hit(rows: DataFrame, name: str, value: Column, found: DataFrame, bits:
     return rows.join(F.broadcast(cells), F.shiftright(slot, 15) == F.col("__at"), "left").select(*rows.columns, bit.alias(name))
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``decided`` (row_key() and __kept of every row) keeps; a key that it both keeps and drops stays once.
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (row_key(), with the ``more`` columns, and __kept of every row) keeps; a key that it both keeps and drops stays once.
 
     Rows are settled where they are read, by two filters of fixed size, and
     exactly: a row that misses the filter of the dropped keys stays; of those
@@ -86,7 +86,7 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     dropped = hash_filter(decided.where("not __kept").select(code.alias("h")))
     doubtful = checkpointed(with_hit(decided.where("__kept").select(*KEY_NAMES), "__hit", code, dropped).where("__hit").select(*KEY_NAMES).distinct())
     spared = hash_filter(doubtful.select(code.alias("h")))
-    rows = packed(docs, *row_key(docs[text_col], docs[id_col]))
+    rows = packed(docs, *row_key(docs[text_col], docs[id_col], *[docs[c] for c in more]))
     rows = with_hit(with_hit(rows, "__drop", code, dropped), "__spare", code, spared)
     settled = rows.where("__drop and __spare").select("__row", *KEY_NAMES).dropDuplicates(KEY_NAMES).join(doubtful, KEY_NAMES, "left_semi")
     return rows.where("not __drop").select("__row.*").unionByName(settled.select("__row.*"))
