@@ -1,47 +1,56 @@
 """WARC archives with revisit resolution.
 
-Writing: headers (id, digest, length) are shuffled by payload digest, of equal
-payloads the page with the largest id becomes the response and all others
-become revisit records that refer to it, without payload. Records are text in
-UTF-8, so Spark's own text sink writes the archives: gzip, task retries and
-the commit protocol come with it, on any file system. A record's end (two line
-breaks) is the sink's line separator.
-
-Reading: each archive is parsed by Content-Length, responses' digests are
-computed again from their payloads, and revisit records are joined to their
-responses by payload digest.
-
-Archives are kept to about ARCHIVE_BYTES before compression, as one is read by
-one task; pages of GIANT_BYTES or more are archived apart, few to a file.
+Writing: headers (page id, url, digest, length) are shuffled by payload digest;
+of equal payloads the page with the largest id becomes the response and all
+others become revisit records that refer to it, without payload. Payloads
+aren't shuffled but where they must be: two filters of fixed size over the
+repeated digests and over the rows that may be their responses tell where they
+are read which pages are surely alone (written right there) and which are
+surely revisits (their headers suffice). The rest, a page for each repeated
+digest and a few by chance, is settled by an exact join.
+
+Archives hold a warcinfo record and then records of ARCHIVE_BYTES together
+before compression, or one larger record. Each record is a gzip member of its
+own, so that readers can seek to it. Spark's own text sink writes the archives,
+a row each, with its commit protocol, on any file system; a member's last
+octet, zero in all members that are written here, serves as the sink's line
+separator. The sink names the files part-*.txt; their content is .warc.gz.
+
+Reading: each archive is parsed member by member and by Content-Length,
+responses' digests are computed again from their payloads, and revisit records
+are joined to their responses by payload digest.
 
 Defined results: a null html is an empty payload; a null url gives an empty
-target; a null page id ranks below all others; of rows alike in id, url and
-html one is the response; an empty table gives an empty result; other columns
-aren't read.
+target; a null page id ranks below all others; a page of any length is one
+record; of pages with one payload and one id that with the larger hash of its
+url is the response, and of rows alike in id, url and html one; an empty table
+gives an empty result; other columns aren't read, whatever their names. What
+the path held before is replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed, scratch, table
+from granary.llm.common import checkpointed, hash_filter, scratch, table, with_hit
 
 MIN_BYTES = 0
-ARCHIVE_BYTES = 32 << 20
-GIANT_BYTES = 4 << 20
-DATE = "2025-01-01T00:00:00Z"
+ARCHIVE_BYTES = 16 << 20
+LEVEL = 6
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 
 
-def base32_of_hex(digest: Column) -> Column:
-    """Base32 of 40 hex digits: eight groups of five, each four letters."""
+def base32(digest: Column) -> Column:
+    """Base32 of 20 octets: eight groups of five hex digits, each four letters."""
     letters = []
     for i in range(8):
-        value = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
+        value = F.conv(F.substring(F.hex(digest), 5 * i + 1, 5), 16, 10).cast("int")
         letters += [F.substring(F.lit(BASE32), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
     return F.concat(*letters)
 
@@ -52,71 +61,117 @@ def _uuid(*parts: Column) -> Column:
 
 
 def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Adds record_type and refers_to to page_id, url, html, digest and bytes; html of revisits is null."""
-    shared = pages.where(F.col("bytes") >= min_bytes).select("page_id", "url", "html", "digest", "bytes")
-    own = pages.where(F.col("bytes") < min_bytes).select("page_id", "url", "html", "digest", "bytes", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    heads = shared.groupBy("digest", "page_id", F.xxhash64("url").alias("tie")).agg(F.count(F.lit(1)).alias("same"))
-    winners = checkpointed(heads.groupBy("digest").agg(F.max(F.struct("page_id", "tie", "same")).alias("w")))
-    wins = F.col("page_id").eqNullSafe(F.col("w.page_id")) & (F.xxhash64("url") == F.col("w.tie"))
-    doubled = winners.where("w.same > 1")
-    joined = shared.join(winners, "digest").withColumn("__wins", wins)
-    if doubled.isEmpty():
-        clear, alike = joined, None
-    else:
-        clear = joined.where(~(F.col("__wins") & (F.col("w.same") > 1)))
-        alike = shared.join(doubled, "digest").where(wins)
-        alike = alike.withColumn("__wins", F.row_number().over(Window.partitionBy("digest").orderBy("page_id")) == 1)
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.select(
-            "page_id", "url", F.when(F.col("__wins"), F.col("html")).alias("html"), "digest", "bytes",
-            F.when(F.col("__wins"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("__wins"), F.col("w.page_id")).alias("refers_to"),
-        )
-
-    found = named(clear) if alike is None else named(clear).unionByName(named(alike))
-    return found.unionByName(own) if min_bytes > 0 else found
-
-
-def record(min_bytes: int = MIN_BYTES) -> Column:
-    """A record without its final line breaks, with fresh headers."""
+    """page_id, url, html (null for revisits), sha, bytes and record_type of each row of ``pages`` (page_id, url, html)."""
+    html = F.coalesce(pages["html"], F.lit(""))
+    own = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("sha"), F.octet_length(html).cast("long").alias("bytes"), F.xxhash64(pages["url"]).alias("tie"))
+    heads = checkpointed(own.select("page_id", "url", "sha", "bytes", "tie").where(F.col("bytes") >= min_bytes))
+    shared = heads.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "tie")).alias("w")).where("n > 1")
+    winners = checkpointed(shared.select("sha", F.col("w.page_id").alias("first_id"), F.col("w.tie").alias("first_tie")))
+    digest, row = F.xxhash64("sha"), F.xxhash64("sha", "page_id", F.col("page_id").isNull(), "tie")
+    wins = F.col("first_tie").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))
+
+    repeated = hash_filter(winners.select(digest.alias("h")))
+    held = with_hit(heads, "__shared", digest, repeated).where("__shared")
+    needed = held.join(winners, "sha", "left").where(wins).select(row.alias("h"))
+    payloads = hash_filter(needed)
+    kind = lambda response: F.when(response, "response").otherwise("revisit").alias("record_type")
+    names = ["page_id", "url", "html", "sha", "bytes"]
+
+    rows = with_hit(with_hit(own, "__shared", digest, repeated), "__payload", row, payloads)
+    open_ = F.col("__shared") & (F.col("bytes") >= min_bytes)
+    alone = rows.where(~open_).select(*names, kind(F.lit(True)))
+    bare = with_hit(held, "__payload", row, payloads).where("not __payload").select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha", "bytes", kind(F.lit(False)))
+    alike = rows.where(open_ & F.col("__payload")).groupBy("sha", "page_id", "tie", "bytes").agg(F.count(F.lit(1)).alias("n"), F.first("url").alias("url"), F.first("html").alias("html"))
+    each = alike.join(winners, "sha", "left").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    first = wins & ((F.col("nth") == 1) | F.col("first_tie").isNull())
+    return alone.unionByName(bare).unionByName(each.select("page_id", "url", F.when(first, F.col("html")).alias("html"), "sha", "bytes", kind(first)))
+
+
+def record(run: str, date: str, min_bytes: int = MIN_BYTES) -> Column:
+    """A record with fresh headers. Ids are made of the run's name and, for responses that others may refer to, the digest alone."""
     revisit = F.col("record_type") == "revisit"
-    row = F.monotonically_increasing_id().cast("string")
-    original = _uuid(F.lit("response"), F.col("digest"))
-    single = F.col("bytes") < min_bytes
-    ident = F.when(revisit | single, _uuid(F.col("record_type"), F.col("digest"), row)).otherwise(original)
+    digest = base32(F.col("sha"))
+    original = _uuid(F.lit(run), F.lit("response"), digest)
+    ident = F.when(revisit | (F.col("bytes") < min_bytes), _uuid(F.lit(run), "record_type", digest, F.monotonically_increasing_id().cast("string"))).otherwise(original)
     http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), "record_type"),
         F.concat(F.lit("WARC-Record-ID: "), ident),
-        F.lit(f"WARC-Date: {DATE}"),
+        F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
         F.concat(F.lit("X-Page-ID: "), F.col("page_id").cast("string")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), original)),
+        F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), length.cast("string")),
     ]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http, F.coalesce("html", F.lit("")))
+    return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http, F.coalesce("html", F.lit("")), F.lit(CRLF * 2))
+
+
+def member(data: bytes, level: int = LEVEL) -> bytes:
+    """A gzip member whose last octet is zero. That is the top octet of the data's length; longer data is followed by a member without data."""
+    import gzip
+
+    found = gzip.compress(data, level, mtime=0)
+    return found if found[-1] == 0 else found + gzip.compress(b"", level, mtime=0)
+
+
+def _archives(date: str):
+    """Rows of records to rows of archives, each without its last octet."""
 
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Writes a record for each row (page_id, url, html) to gzip archives in folders under path."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), base32_of_hex(F.sha1(html)).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-    mean, giants = rows.agg(F.avg("bytes"), F.count_if(F.col("bytes") >= GIANT_BYTES)).first()
-    found = decided(rows, min_bytes)
-    per_file = max(1, int(ARCHIVE_BYTES // max(512, mean or 0)))
-    for name, part, most in (("usual", F.col("bytes") < GIANT_BYTES, per_file), ("giant", F.col("bytes") >= GIANT_BYTES, 4)):
-        if name == "usual" or giants:
-            out = found.where(part).select(record(min_bytes).alias("value")).write.mode("overwrite")
-            out.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/{name}")
+        def archive(members):
+            body = f"software: granary{CRLF}format: WARC File Format 1.1{CRLF}".encode()
+            head = [f"WARC/1.1{CRLF}WARC-Type: warcinfo", f"WARC-Record-ID: {uuid.uuid4().urn.join('<>')}", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+            info = member(CRLF.join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([info, *members])[:-1]], pa.binary())], names=["value"])
+
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column("value"):
+                data = value.as_py()
+                if held and size + len(data) > ARCHIVE_BYTES:
+                    yield archive(held)
+                    held, size = [], 0
+                held.append(member(data))
+                size += len(data)
+        if held:
+            yield archive(held)
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str | None = None) -> None:
+    """Writes a record for each row (page_id, url, html) to archives in the folder ``path``. date: of the records, now by default."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    records = decided(pages, min_bytes).select(record(uuid.uuid4().hex, date, min_bytes).cast("binary").alias("value"))
+    archives = records.mapInArrow(_archives(date), "value binary").select(F.col("value").cast("string").alias("value"))
+    archives.write.mode("overwrite").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(content: bytes) -> Iterator[bytes]:
+    """The data of each gzip member that has any."""
+    import zlib
+
+    view = memoryview(content)
+    while len(view):
+        stream = zlib.decompressobj(31)
+        data = stream.decompress(view) + stream.flush()
+        if not stream.eof:
+            raise ValueError("an archive ends within a member")
+        view = view[len(view) - len(stream.unused_data) :]
+        if data:
+            yield data
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and payload of each record."""
+    """Headers (names in lower case) and block of each record."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -127,7 +182,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         start, stop = end + 4, end + 4 + int(headers["content-length"])
         if data[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"a record ends badly at octet {stop}")
-        yield headers, data[data.index(b"\r\n\r\n", start) + 4 : stop]
+        yield headers, data[start:stop]
         at = stop + 4
 
 
@@ -136,7 +191,6 @@ RECORDS = "page_id long, url string, record_id string, record_type string, refer
 
 def _parsed(batches: Iterator) -> Iterator:
     import base64
-    import gzip
     import hashlib
 
     import pyarrow as pa
@@ -146,8 +200,11 @@ def _parsed(batches: Iterator) -> Iterator:
     for batch in batches:
         for content in batch.column("content"):
             columns: list[list] = [[] for _ in names]
-            for h, payload in parse(gzip.decompress(content.as_py())):
+            for h, block in (x for data in members(content.as_py()) for x in parse(data)):
+                if h["warc-type"] == "warcinfo":
+                    continue
                 response = h["warc-type"] == "response"
+                payload = block[block.index(b"\r\n\r\n") + 4 :]
                 stated = h["warc-payload-digest"].removeprefix("sha1:")
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else stated
                 row = (int(h["x-page-id"]) if "x-page-id" in h else None, h["warc-target-uri"], h["warc-record-id"], h["warc-type"], h.get("warc-refers-to"), digest, len(payload) if response else None, digest == stated)
@@ -157,8 +214,8 @@ def _parsed(batches: Iterator) -> Iterator:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of all archives under path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    """RECORDS of all archives under path, but for warcinfo."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(_parsed, RECORDS)
 
 

@@ -11,7 +11,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash, warc
+from granary.llm import common, exact_dedup, mixing, packing, quality_rules, sharding, simhash, warc
 from tests.helpers import assert_same
 from tests.llm.test_near_copies import slow_kept
 
@@ -235,8 +235,12 @@ def test_warc_round_trip(spark, tmp_path):
         for k, i in enumerate(ids):
             want[(i, len(payload), digest, "revisit" if k else "response", ids[0] if k else None)] += 1
     assert found == want
-    data = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path / "w").rglob("*.gz"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path / "w").glob("part-*"))
     assert data.count(b"<p>x</p>") == 1
+    parts = [x for p in Path(tmp_path / "w").glob("part-*") for x in warc.members(p.read_bytes())]
+    kinds = [h["warc-type"] for x in parts for h, _ in [*warc.parse(x)]]
+    assert len(parts) == len(kinds) == len(PAGES) + kinds.count("warcinfo") and kinds.count("warcinfo") == sum(p.stat().st_size > 0 for p in Path(tmp_path / "w").glob("part-*"))
+    assert len({r.record_id for r in records}) == len(records)
 
 
 def test_warc_short_payloads_and_giants(spark, tmp_path):
@@ -244,7 +248,26 @@ def test_warc_short_payloads_and_giants(spark, tmp_path):
     warc.write_warc(pages, str(tmp_path / "w"), min_bytes=5)
     found = {r.page_id: (r.record_type, r.refers_to) for r in warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
     assert found == {1: ("response", None), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), 5: ("response", None)}
-    assert (tmp_path / "w" / "giant").exists()
+    warc.write_warc(pages.where("page_id = 3"), str(tmp_path / "w"))
+    assert [r.page_id for r in warc.read_warc(spark, str(tmp_path / "w")).collect()] == [3]
+
+
+def test_warc_archives_are_bounded_and_members_end_with_zero(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("né "), (F.col("id") * 7 % 900).cast("int")).alias("html")).coalesce(2)
+    pages = pages.unionByName(spark.createDataFrame([(900, "u", "x" * (17 << 20))], pages.schema))
+    monkeypatch.setattr(warc, "hash_filter", lambda rows: common.hash_filter(rows, 15))
+    monkeypatch.setattr(warc, "with_hit", lambda *a: common.with_hit(*a, bits=15))
+    warc.write_warc(pages, str(tmp_path / "w"))
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*") if p.stat().st_size]
+    sizes = [[len(x) for x in warc.members(data)][1:] for data in files]
+    assert len(files) > 10 and all(sum(s) <= 20_000 or len(s) == 1 for s in sizes) and max(map(max, sizes)) > 16 << 20
+    assert all(data[-1] == 0 for data in files)
+    got = {r.page_id: r for r in warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
+    texts = {r.page_id: r.html for r in pages.collect()}
+    for i, text in texts.items():
+        first = max(k for k, t in texts.items() if t == text)
+        assert (got[i].payload_bytes, got[i].record_type, got[i].refers_to) == (len(text.encode()), *(("response", None) if i == first else ("revisit", first)))
 
 
 def test_warc_empty_and_sql(spark, duck, tmp_path):
