@@ -47,5 +47,9 @@ class Folder:
             raise AlreadyThere(f"{self.path}/{name}")
         return None
 
+    def make(self, name: str) -> None:
+        """Makes a folder, if it isn't there."""
+        self._fs.mkdirs(self._path(name))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from granary.operators.streams import as_stream, windowed_counts
 from granary.plans.verify import SchemaDisagreement, agreed_schema, table_hash
+from granary.sources.files import AlreadyThere
 from granary.sources.store import Definition, Store
-from granary.streaming.changelog import ChangeLog, Follower, Gap, NeedsBootstrap, TooOld, as_of, replay
+from granary.streaming.changelog import Archive, ChangeLog, Follower, Gap, NeedsBootstrap, TooOld, as_of, replay
 
 
 def put(spark, *rows):
@@ -58,20 +59,79 @@ def test_retention(spark, tmp_path):
     log = ChangeLog(spark, str(tmp_path / "log"))
     for i in range(3):
         log.append(put(spark, (i, "x")), "put")
-    log.retain(3)
-    assert log.read(1, 2).count() == 1
+    assert len(log.folder.names("changes")) == 3 and log.retain(3) == 2
+    assert log.read(1, 2).count() == 1 and len(log.folder.names("changes")) == 1 and log.position == (1, 3)
     with pytest.raises(TooOld):
         log.read(1, 0)
 
 
+def test_a_dead_writer_leaves_nothing_to_read(spark, tmp_path, monkeypatch):
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    log.append(put(spark, (1, "a")), "put")
+    with monkeypatch.context() as m:
+        m.setattr(log, "publish", lambda *a: (_ for _ in ()).throw(OSError("died")))
+        with pytest.raises(OSError):
+            log.append(put(spark, (2, "orphan")), "put")
+    assert log.position == (1, 1) and [r.v for r in log.read(1, 0).collect()] == ["a"]
+    log.append(put(spark, (3, "c")), "put")
+    assert sorted((r.lsn, r.v) for r in log.read(1, 0).collect()) == [(1, "a"), (2, "c")]
+    assert log.sweep() == 1 and log.read(1, 0).count() == 2
+    with pytest.raises(AlreadyThere):
+        log.publish(1, 2, [])
+
+
+@pytest.mark.parametrize("step", ["stage", "create", "publish"])
+def test_log_and_version_are_one_step(spark, tmp_path, monkeypatch, step):
+    """A writer that dies while it stages, before its version is created, or before the log's entry is."""
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    store = Store.create(spark, str(tmp_path / "db" / "t"), Definition.of("k bigint, v string", key="k", buckets=2)).attach(log)
+    store.insert(put(spark, (1, "a"), (2, "b")))
+
+    def die(*a, **b):
+        raise OSError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(*{"stage": (log, "stage", die), "create": (store.folder, "create", die), "publish": (log, "publish", die)}[step])
+        with pytest.raises(OSError):
+            store.update(F.col("k") == 2, {"v": F.lit("bb")})
+    again = Store(spark, store.path).attach(ChangeLog(spark, log.path))
+    again.delete(F.col("k") == 1)
+    changes = again.log.read(1, 0)
+    empty = spark.createDataFrame([], "k long, v string")
+    want = [(2, "bb" if step == "publish" else "b")]
+    assert sorted(map(tuple, again.read().collect())) == want == sorted(map(tuple, replay(empty, changes, ["k"]).collect()))
+    assert sorted({r.lsn for r in changes.collect()}) == list(range(1, again.log.position[1] + 1))
+
+
+def test_archive_restores_and_resumes(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    store = Store.create(spark, str(tmp_path / "db" / "t"), Definition.of("k bigint, v string", key="k")).attach(log)
+    store.insert(put(spark, (1, "a"), (2, "b")))
+    archive = Archive(spark, str(tmp_path / "archive"), ["k"])
+    with pytest.raises(NeedsBootstrap):
+        archive.ship(log)
+    archive.snapshot(store.read(), *log.position)
+    store.update(F.col("k") == 1, {"v": F.lit("aa")})
+    assert archive.ship(log) == 1 and archive.ship(log) == 0
+    store.delete(F.col("k") == 2)
+    store.insert(put(spark, (3, "c")))
+    assert archive.ship(log) == 2 and archive.position == (1, 4)
+    assert sorted(map(tuple, archive.restore().collect())) == [(1, "aa"), (3, "c")]
+    assert sorted(map(tuple, archive.restore(1, 2).collect())) == [(1, "aa"), (2, "b")]
+    assert sorted(map(tuple, archive.restore(1, 3).collect())) == [(1, "aa")]
+    archive.folder.delete(f"log/{archive.folder.names('log')[0]}")
+    with pytest.raises(Gap):
+        archive.restore()
+
+
 def test_streamed_log(spark, tmp_path):
     log = ChangeLog(spark, str(tmp_path / "log"))
     for i in range(1, 6):
         log.append(put(spark, (i, str(i))), "put")
     seen: list[int] = []
     follower = Follower(spark, str(tmp_path / "at"), lambda df: seen.extend(r.k for r in df.orderBy("lsn").collect()))
-    run = log.stream(100).writeStream.foreachBatch(follower.apply).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination()
+    log.stage(put(spark, (99, "never committed")), "put", 1, 6)
+    log.follow(follower.apply, str(tmp_path / "cp"), 100).awaitTermination()
     assert seen == [1, 2, 3, 4, 5] and follower.position == (1, 5)
 
 

@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from granary.sources.store import Conflict, ConstraintViolation, Definition, Store
+from granary.sources.store import Conflict, ConstraintViolation, Definition, Store, joint_transaction
 
 
 @pytest.fixture
@@ -118,6 +118,79 @@ def test_columns_come_and_go(spark, store):
     assert store.read().where("more is not null").count() == 0
 
 
+def test_insert_checks_only_buckets_of_new_keys(spark, store, monkeypatch):
+    seen = []
+    plain = Store._rows
+    monkeypatch.setattr(Store, "_rows", lambda self, d, segments, *a: seen.append(len(segments)) or plain(self, d, segments, *a))
+    store.insert(spark.createDataFrame([(1000, 1)], "id long, v long"))
+    assert max(seen) == 1 < len(store.manifest()["segments"])
+
+
+def test_compact_and_rebucket(spark, store):
+    for i in range(3):
+        store.insert(spark.createDataFrame([(100 + i, 1)], "id long, v long"))
+    want = rows(store)
+    assert store.compact() > 4 and rows(store) == want and len(store.manifest()["segments"]) == 4
+    store.rebucket(8)
+    assert rows(store) == want and store.definition.buckets == 8 and rows(store, key=101) == [(101, 1)]
+    assert {s["bucket"] for s in store.manifest()["segments"]} <= set(range(8)) and len(store.read(key=7).inputFiles()) < len(store.read().inputFiles())
+
+
+def test_rebucket_while_others_write(spark, store, monkeypatch):
+    other, copied, plain = Store(spark, store.path), [], Store._write
+
+    def write(self, definition, frame):
+        if definition.buckets == 8 and not copied:
+            copied.append(1)
+            other.update(F.col("id") == 3, {"v": F.lit(1)})
+            other.delete(F.col("id") == 4)
+        return plain(self, definition, frame)
+
+    monkeypatch.setattr(Store, "_write", write)
+    store.rebucket(8)
+    assert rows(store) == sorted([(i, 1 if i == 3 else v) for i, v in BASE if i != 4])
+
+
+@pytest.fixture
+def pair(spark, tmp_path):
+    made = [Store.create(spark, f"{tmp_path}/{name}", Definition.of("id bigint, v bigint", key="id", buckets=2, checks={"positive": "v >= 0"})) for name in ("a", "b")]
+    for store in made:
+        store.insert(spark.range(4).select("id", "id").toDF("id", "v"))
+    return made
+
+
+def test_two_tables_commit_together(spark, pair):
+    a, b = pair
+    with joint_transaction([a, b]):
+        a.delete(F.col("id") == 0)
+        b.update(F.col("id") == 1, {"v": F.lit(9)})
+    assert a.read().count() == 3 and b.read().where("v = 9").count() == 1
+    with pytest.raises(ConstraintViolation), joint_transaction([a, b]):
+        a.delete(F.lit(True))
+        b.update(F.col("id") == 1, {"v": F.lit(-1)})
+    assert a.read().count() == 3
+    before = (a.manifest()["version"], b.manifest()["version"])
+    with pytest.raises(Conflict), joint_transaction([a, b]):
+        a.delete(F.lit(True))
+        b.delete(F.col("id") == 2)
+        Store(spark, b.path).delete(F.col("id") == 3)
+    assert a.manifest()["version"] == before[0] and a.read().count() == 3 and b.read().count() == 3
+
+
+def test_an_undecided_transaction_counts_for_nobody(spark, pair, monkeypatch):
+    a, b = pair
+    monkeypatch.setattr(a._decisions, "create", lambda *x: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError), joint_transaction([a, b]):
+        a.delete(F.lit(True))
+        b.delete(F.lit(True))
+    fresh = [Store(spark, s.path) for s in pair]
+    assert [s.read().count() for s in fresh] == [4, 4]
+    fresh[0].delete(F.col("id") == 0)
+    assert [s.read().count() for s in fresh] == [3, 4] and fresh[0].versions()[-1] == a._numbers()[-1]
+    fresh[1].insert(spark.createDataFrame([(7, 7)], "id long, v long"))
+    assert fresh[1].vacuum() >= 0 and [s.read().count() for s in fresh] == [3, 5]
+
+
 def test_placement(store):
     found = {r.bucket: r.n for r in store.placement().collect()}
     assert sum(found.values()) == 20 and set(found) <= set(range(4))
