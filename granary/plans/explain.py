@@ -63,3 +63,41 @@ def explain(df: DataFrame) -> Explained:
         read_columns=re.findall(r"ReadSchema: struct<(.*?)>\n", text),
         python=bool(re.search(r"Python|Pandas|Arrow", tree)),
     )
+
+
+def _literal(expression):
+    """A literal's value: an int or a str; None for others."""
+    if expression.getClass().getSimpleName() != "Literal":
+        return None
+    value = expression.value()
+    if value is None:
+        return None
+    return value if isinstance(value, int) and not isinstance(value, bool) else value.toString() if hasattr(value, "toString") and expression.dataType().simpleString() == "string" else None
+
+
+def _pin(expression) -> tuple[str, list] | None:
+    """Column and values of column = literal or column IN (literals)."""
+    kind = expression.getClass().getSimpleName()
+    if kind == "EqualTo":
+        sides = [expression.left(), expression.right()]
+        if sides[1].getClass().getSimpleName() == "AttributeReference":
+            sides.reverse()
+        if sides[0].getClass().getSimpleName() == "AttributeReference" and (value := _literal(sides[1])) is not None:
+            return sides[0].name(), [value]
+    if kind == "In" and expression.value().getClass().getSimpleName() == "AttributeReference":
+        values = [_literal(expression.list().apply(i)) for i in range(expression.list().size())]
+        return (expression.value().name(), values) if values and None not in values else None
+    return None
+
+
+def scans(df: DataFrame) -> list[tuple[str, list[tuple[str, list]]]]:
+    """For each file scan of the plan: the path of its first file or folder, and the columns that its filters pin to values."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "FileSourceScanExec":
+            filters, roots = leaf.dataFilters(), leaf.relation().location().rootPaths()
+            pins = [_pin(filters.apply(k)) for k in range(filters.size())]
+            found.append((roots.apply(0).toString() if roots.size() else "", [p for p in pins if p]))
+    return found

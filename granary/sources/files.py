@@ -21,7 +21,7 @@ class Folder:
 
     def names(self, sub: str = "") -> list[str]:
         where = self._path(sub)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(where)) if self._fs.exists(where) else []
+        return sorted(n for s in self._fs.listStatus(where) if (n := s.getPath().getName()) != "_new") if self._fs.exists(where) else []
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))

@@ -1,11 +1,11 @@
-"""Result sinks, row streaming and SQL scripts."""
+"""Result sinks, row streaming and the statements of scripts, which Engine.script() runs."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,8 +47,3 @@ def script_statements(text: str) -> Iterator[str]:
         statement = line.strip().rstrip(";")
         if statement and not statement.startswith("--"):
             yield statement
-
-
-def run_script(spark: SparkSession, path: str) -> list[DataFrame]:
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).toLocalIterator())
-    return [spark.sql(s) for s in script_statements(text)]

@@ -212,8 +212,8 @@ class Store:
 
     # Reading
 
-    def read(self, version: int | None = None, key: str | int | None = None) -> DataFrame:
-        """The table, or one bucket of it when the key's value is pinned."""
+    def read(self, version: int | None = None, key: str | int | None = None, keys: Sequence[str | int] | None = None) -> DataFrame:
+        """The table; with ``key`` its rows of that key, from one bucket; with ``keys`` the buckets that can hold these, whole."""
         manifest = self.manifest(version)
         definition = Definition(**manifest["definition"])
         segments = manifest["segments"]
@@ -221,6 +221,9 @@ class Store:
             bucket = hash_key(key) % definition.buckets
             segments = [s for s in segments if s["bucket"] == bucket]
             return self._rows(definition, segments).where(F.col(f"`{definition.key}`") == F.lit(key))
+        if keys is not None and definition.key and definition.buckets > 1:
+            own = {hash_key(k) % definition.buckets for k in keys}
+            segments = [s for s in segments if s["bucket"] in own]
         return self._rows(definition, segments)
 
     def _rows(self, definition: Definition, segments: Sequence[dict], more: Sequence[Column] = ()) -> DataFrame:
