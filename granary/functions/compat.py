@@ -40,9 +40,13 @@ def scalar_max(*values: Column) -> Column:
     return _strict(values, F.greatest)
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def like(value: Column, pattern: str) -> Column:
-    """LIKE without regard to case."""
-    return value.ilike(pattern)
+    """LIKE without regard to the case of A-Z; other letters keep theirs, and the pattern has no escape character."""
+    folded = pattern.translate(str.maketrans(_UPPER, _UPPER.lower())).replace("\\", "\\\\")
+    return F.translate(value, _UPPER, _UPPER.lower()).like(folded)
 
 
 def glob(value: Column, pattern: str) -> Column:

@@ -44,11 +44,11 @@ def join_right(t: Tables) -> DataFrame:
 
 @QUERIES.add(
     "join_full",
-    "SELECT a.k AS ak, b.k AS bk FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey > 10) b ON a.k = b.k",
+    "SELECT a.k AS ak, b.k AS bk FROM (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 450000) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0) b ON a.k = b.k",
 )
 def join_full(t: Tables) -> DataFrame:
-    a = t.nation.where("n_nationkey < 15").select(F.col("n_nationkey").alias("ak"))
-    b = t.nation.where("n_nationkey > 10").select(F.col("n_nationkey").alias("bk"))
+    a = t.orders.where("o_totalprice > 450000").select(F.col("o_custkey").alias("ak"))
+    b = t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("bk"))
     return a.join(b, F.col("ak") == F.col("bk"), "full")
 
 
@@ -60,7 +60,7 @@ def join_extra_on(t: Tables) -> DataFrame:
 
 @QUERIES.add(
     "join_multi",
-    "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY n_name",
+    "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' GROUP BY n_name",
 )
 def join_multi(t: Tables) -> DataFrame:
     joined = (
@@ -68,7 +68,7 @@ def join_multi(t: Tables) -> DataFrame:
         .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return joined.where("r_regionkey < 3").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    return joined.where("r_name <> 'ASIA'").groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @QUERIES.add("customers_per_region", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -87,10 +87,10 @@ def join_cross(t: Tables) -> DataFrame:
     return t.region.crossJoin(t.nation).select("n_nationkey", "r_regionkey")
 
 
-@QUERIES.add("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+@QUERIES.add("join_theta", "SELECT n_nationkey, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS s FROM nation JOIN customer ON n_nationkey < c_nationkey GROUP BY n_nationkey")
 def join_theta(t: Tables) -> DataFrame:
-    a, b = t.nation.select(F.col("n_nationkey").alias("a")), t.nation.select(F.col("n_nationkey").alias("b"))
-    return a.join(b, F.col("a") < F.col("b"))
+    joined = t.nation.join(t.customer, F.col("n_nationkey") < F.col("c_nationkey"))
+    return joined.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("s"))
 
 
 @QUERIES.add("join_using", "SELECT r, n_name, r_name FROM (SELECT n_regionkey AS r, n_name FROM nation) a JOIN (SELECT r_regionkey AS r, r_name FROM region) b USING (r)")
@@ -109,11 +109,11 @@ def join_derived(t: Tables) -> DataFrame:
     return t.customer.join(per, F.col("c_custkey") == F.col("o_custkey")).select("c_name", "n")
 
 
-@QUERIES.add("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@QUERIES.add("join_self", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey")
 def join_self(t: Tables) -> DataFrame:
-    a, b = t.nation.alias("a"), t.nation.alias("b")
-    on = (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey"))
-    return a.join(b, on).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
+    a, b = t.orders.alias("a"), t.orders.alias("b")
+    on = (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderdate") == F.col("b.o_orderdate")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey"))
+    return a.join(b, on).select(F.col("a.o_orderkey").alias("a"), F.col("b.o_orderkey").alias("b"))
 
 
 @QUERIES.add("semi_in", "SELECT count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions.routing import OFFSET, PRIME, Linear, Modulo, bucket_column, hash_column
 from granary.plans.definition import QuerySet
 from granary.plans.verify import content_hash
+from granary.sources.store import stored
 from granary.sources.tables import Tables
 
 QUERIES = QuerySet()
@@ -39,6 +40,43 @@ def rebucket(t: Tables) -> DataFrame:
     return t.orders.select(bucket_column(key, "bigint", old).alias("before"), bucket_column(key, "bigint", new).alias("after")).groupBy("before", "after").agg(F.count(F.lit(1)).alias("n"))
 
 
-@QUERIES.add("content_hash")
+@QUERIES.add("rebucket_store", f"SELECT CAST({_INT.format(key='o_orderkey')} % 16 AS INTEGER) AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def rebucket_store(t: Tables) -> DataFrame:
+    """A stored table of all orders, dealt anew from 8 buckets to 16."""
+    store = stored(t.spark, t.orders.select("o_orderkey", "o_custkey"), "o_orderkey", 8)
+    store.rebucket(16)
+    return store.placement()
+
+
+@QUERIES.add("placement_counts", f"SELECT CAST({_INT.format(key='o_orderkey')} % 8 AS INTEGER) AS bucket, count(*) AS n FROM orders GROUP BY 1")
+def placement_counts(t: Tables) -> DataFrame:
+    return stored(t.spark, t.orders.select("o_orderkey"), "o_orderkey", 8).placement()
+
+
+#: The tables of a folder that make up its database, and their columns as Spark has them.
+DATABASE = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def _hash_sql() -> str:
+    parts = []
+    for name, columns in DATABASE.items():
+        pairs = [c.split() for c in columns.split(", ")]
+        tagged = " || '|' || ".join(f"'{t}:' || coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR), '-') || ':' || coalesce(CAST({c} AS VARCHAR), '')" for c, t in pairs)
+        sums = " || '|' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS HUGEINT)), 0) AS VARCHAR)" for i in range(4))
+        schema = "|".join(f"{c}:{t}" for c, t in pairs)
+        parts.append(f"SELECT '{name}' AS \"table\", count(*) AS rows, sha256('{schema}|' || CAST(count(*) AS VARCHAR) || '|' || {sums}) AS hash FROM (SELECT sha256({tagged}) AS h FROM {name})")
+    return " UNION ALL ".join(parts)
+
+
+@QUERIES.add("content_hash", _hash_sql())
 def content_hash_query(t: Tables) -> DataFrame:
-    return content_hash({name: getattr(t, name) for name in ("region", "nation", "customer")}, t.spark)
+    return content_hash({name: getattr(t, name) for name in DATABASE}, t.spark)

@@ -95,11 +95,6 @@ def filter_three_valued(t: Tables) -> DataFrame:
     return t.orders.where(~(F.nullif(F.col("o_custkey") % 3, F.lit(0)) == 1)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@QUERIES.add("placement_counts", "SELECT o_custkey % 8 AS bucket, count(*) AS n FROM orders GROUP BY 1")
-def placement_counts(t: Tables) -> DataFrame:
-    return t.orders.groupBy((F.col("o_custkey") % 8).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @QUERIES.add(
     "tpch_q1_shape",
     f"""SELECT l_returnflag, l_linestatus, {MONEY.format("l_quantity")} AS sum_qty, {MONEY.format("l_extendedprice")} AS sum_base_price,

@@ -41,24 +41,24 @@ def distinct_agg(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")).distinct()
 
 
-@QUERIES.add("union_all", "SELECT o_custkey % 7 AS k FROM orders WHERE o_orderkey < 500 UNION ALL SELECT o_custkey % 7 FROM orders WHERE o_orderkey > 200")
+@QUERIES.add("union_all", "SELECT o_custkey % 7 AS k FROM orders WHERE o_totalprice < 400000 UNION ALL SELECT o_custkey % 7 FROM orders WHERE o_totalprice > 200000")
 def union_all(t: Tables) -> DataFrame:
-    return _keys(t, 7, "o_orderkey < 500").unionAll(_keys(t, 7, "o_orderkey > 200"))
+    return _keys(t, 7, "o_totalprice < 400000").unionAll(_keys(t, 7, "o_totalprice > 200000"))
 
 
-@QUERIES.add("union_distinct", "SELECT o_custkey % 7 AS k FROM orders WHERE o_orderkey < 500 UNION SELECT o_custkey % 7 FROM orders WHERE o_orderkey > 200")
+@QUERIES.add("union_distinct", "SELECT o_custkey % 7 AS k FROM orders WHERE o_totalprice < 400000 UNION SELECT o_custkey % 7 FROM orders WHERE o_totalprice > 200000")
 def union_distinct(t: Tables) -> DataFrame:
-    return _keys(t, 7, "o_orderkey < 500").union(_keys(t, 7, "o_orderkey > 200")).distinct()
+    return _keys(t, 7, "o_totalprice < 400000").union(_keys(t, 7, "o_totalprice > 200000")).distinct()
 
 
-@QUERIES.add("intersect", "SELECT o_custkey % 100000 AS k FROM orders WHERE o_orderkey < 500 INTERSECT SELECT o_custkey % 100000 FROM orders WHERE o_orderkey > 200")
+@QUERIES.add("intersect", "SELECT o_custkey % 100000 AS k FROM orders WHERE o_totalprice < 400000 INTERSECT SELECT o_custkey % 100000 FROM orders WHERE o_totalprice > 200000")
 def intersect(t: Tables) -> DataFrame:
-    return _keys(t, 100000, "o_orderkey < 500").intersect(_keys(t, 100000, "o_orderkey > 200"))
+    return _keys(t, 100000, "o_totalprice < 400000").intersect(_keys(t, 100000, "o_totalprice > 200000"))
 
 
-@QUERIES.add("intersect_all", "SELECT o_custkey % 5 AS k FROM orders WHERE o_orderkey < 50 INTERSECT ALL SELECT o_custkey % 5 FROM orders WHERE o_orderkey > 100")
+@QUERIES.add("intersect_all", "SELECT o_custkey % 5 AS k FROM orders WHERE o_totalprice < 400000 INTERSECT ALL SELECT o_custkey % 5 FROM orders WHERE o_totalprice > 200000")
 def intersect_all(t: Tables) -> DataFrame:
-    return _keys(t, 5, "o_orderkey < 50").intersectAll(_keys(t, 5, "o_orderkey > 100"))
+    return _keys(t, 5, "o_totalprice < 400000").intersectAll(_keys(t, 5, "o_totalprice > 200000"))
 
 
 @QUERIES.add("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
@@ -66,18 +66,14 @@ def except_distinct(t: Tables) -> DataFrame:
     return t.customer.select(F.col("c_custkey").alias("k")).subtract(t.orders.where("o_totalprice > 300000").select("o_custkey"))
 
 
-@QUERIES.add("except_all", "SELECT o_custkey % 5 AS k FROM orders WHERE o_orderkey < 90 EXCEPT ALL SELECT o_custkey % 5 FROM orders WHERE o_orderkey < 30")
+@QUERIES.add("except_all", "SELECT o_custkey % 5 AS k FROM orders WHERE o_totalprice < 400000 EXCEPT ALL SELECT o_custkey % 5 FROM orders WHERE o_totalprice > 200000")
 def except_all(t: Tables) -> DataFrame:
-    return _keys(t, 5, "o_orderkey < 90").exceptAll(_keys(t, 5, "o_orderkey < 30"))
+    return _keys(t, 5, "o_totalprice < 400000").exceptAll(_keys(t, 5, "o_totalprice > 200000"))
 
 
-@QUERIES.add(
-    "setop_mixed",
-    "(SELECT o_custkey % 11 AS k FROM orders WHERE o_orderkey < 20 UNION SELECT o_custkey % 11 FROM orders WHERE o_orderkey > 900) EXCEPT SELECT o_custkey % 11 FROM orders WHERE o_orderkey BETWEEN 30 AND 33",
-)
+@QUERIES.add("setop_mixed", "(SELECT o_custkey % 100000 AS k FROM orders WHERE o_totalprice < 400000 UNION SELECT o_custkey % 100000 FROM orders WHERE o_totalprice > 200000) EXCEPT SELECT o_custkey % 100000 FROM orders WHERE o_orderpriority = '1-URGENT'")
 def setop_mixed(t: Tables) -> DataFrame:
-    left = _keys(t, 11, "o_orderkey < 20").union(_keys(t, 11, "o_orderkey > 900")).distinct()
-    return left.subtract(_keys(t, 11, "o_orderkey BETWEEN 30 AND 33"))
+    return _keys(t, 100000, "o_totalprice < 400000").union(_keys(t, 100000, "o_totalprice > 200000")).distinct().subtract(_keys(t, 100000, "o_orderpriority = '1-URGENT'"))
 
 
 @QUERIES.add("setop_union_intersect", "(SELECT n_regionkey AS k FROM nation UNION SELECT n_nationkey FROM nation) INTERSECT SELECT r_regionkey FROM region")
@@ -86,10 +82,9 @@ def setop_union_intersect(t: Tables) -> DataFrame:
     return both.intersect(t.region.select("r_regionkey"))
 
 
-@QUERIES.add("setop_agg_branches", "SELECT count(*) AS n FROM orders WHERE o_orderkey < 500 UNION ALL SELECT max(c_custkey) FROM customer UNION ALL SELECT count(DISTINCT o_custkey) FROM orders GROUP BY o_orderstatus")
+@QUERIES.add("setop_agg_branches", "SELECT count(*) AS n FROM orders WHERE o_totalprice < 400000 UNION ALL SELECT max(c_custkey) FROM customer UNION ALL SELECT count(DISTINCT o_custkey) FROM orders GROUP BY o_orderstatus")
 def setop_agg_branches(t: Tables) -> DataFrame:
-    counted = t.orders.where("o_orderkey < 500").agg(F.count(F.lit(1)).alias("n"))
-    return counted.unionAll(t.customer.agg(F.max("c_custkey"))).unionAll(t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n")).select("n"))
+    return t.orders.where("o_totalprice < 400000").agg(F.count(F.lit(1)).alias("n")).unionAll(t.customer.agg(F.max("c_custkey"))).unionAll(t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n")).select("n"))
 
 
 @QUERIES.add("setop_ordered", "SELECT * FROM (SELECT c_custkey AS k FROM customer UNION SELECT o_orderkey FROM orders) ORDER BY k DESC LIMIT 12 OFFSET 3")
@@ -107,40 +102,3 @@ def ext_union_by_name(t: Tables) -> DataFrame:
 def ext_distinct_on(t: Tables) -> DataFrame:
     # The first row by order key of each customer: a minimum needs no sort and no window.
     return t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
-
-# The same operations with two large sides, split by values over the whole table.
-
-
-@QUERIES.add("union_all_whole", "SELECT o_custkey % 7 AS k FROM orders WHERE o_totalprice < 400000 UNION ALL SELECT o_custkey % 7 FROM orders WHERE o_totalprice > 200000")
-def union_all_whole(t: Tables) -> DataFrame:
-    return _keys(t, 7, "o_totalprice < 400000").unionAll(_keys(t, 7, "o_totalprice > 200000"))
-
-
-@QUERIES.add("union_distinct_whole", "SELECT o_custkey % 7 AS k FROM orders WHERE o_totalprice < 400000 UNION SELECT o_custkey % 7 FROM orders WHERE o_totalprice > 200000")
-def union_distinct_whole(t: Tables) -> DataFrame:
-    return _keys(t, 7, "o_totalprice < 400000").union(_keys(t, 7, "o_totalprice > 200000")).distinct()
-
-
-@QUERIES.add("intersect_whole", "SELECT o_custkey % 100000 AS k FROM orders WHERE o_totalprice < 400000 INTERSECT SELECT o_custkey % 100000 FROM orders WHERE o_totalprice > 200000")
-def intersect_whole(t: Tables) -> DataFrame:
-    return _keys(t, 100000, "o_totalprice < 400000").intersect(_keys(t, 100000, "o_totalprice > 200000"))
-
-
-@QUERIES.add("intersect_all_whole", "SELECT o_custkey % 5 AS k FROM orders WHERE o_totalprice < 400000 INTERSECT ALL SELECT o_custkey % 5 FROM orders WHERE o_totalprice > 200000")
-def intersect_all_whole(t: Tables) -> DataFrame:
-    return _keys(t, 5, "o_totalprice < 400000").intersectAll(_keys(t, 5, "o_totalprice > 200000"))
-
-
-@QUERIES.add("except_all_whole", "SELECT o_custkey % 5 AS k FROM orders WHERE o_totalprice < 400000 EXCEPT ALL SELECT o_custkey % 5 FROM orders WHERE o_totalprice > 200000")
-def except_all_whole(t: Tables) -> DataFrame:
-    return _keys(t, 5, "o_totalprice < 400000").exceptAll(_keys(t, 5, "o_totalprice > 200000"))
-
-
-@QUERIES.add("setop_mixed_whole", "(SELECT o_custkey % 100000 AS k FROM orders WHERE o_totalprice < 400000 UNION SELECT o_custkey % 100000 FROM orders WHERE o_totalprice > 200000) EXCEPT SELECT o_custkey % 100000 FROM orders WHERE o_orderpriority = '1-URGENT'")
-def setop_mixed_whole(t: Tables) -> DataFrame:
-    return _keys(t, 100000, "o_totalprice < 400000").union(_keys(t, 100000, "o_totalprice > 200000")).distinct().subtract(_keys(t, 100000, "o_orderpriority = '1-URGENT'"))
-
-
-@QUERIES.add("setop_agg_branches_whole", "SELECT count(*) AS n FROM orders WHERE o_totalprice < 400000 UNION ALL SELECT max(c_custkey) FROM customer UNION ALL SELECT count(DISTINCT o_custkey) FROM orders GROUP BY o_orderstatus")
-def setop_agg_branches_whole(t: Tables) -> DataFrame:
-    return t.orders.where("o_totalprice < 400000").agg(F.count(F.lit(1)).alias("n")).unionAll(t.customer.agg(F.max("c_custkey"))).unionAll(t.orders.groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n")).select("n"))

@@ -53,16 +53,6 @@ def as_stream(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@QUERIES.add("cdc_stream", "SELECT user_id AS k, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
-def cdc_stream(t: Tables) -> DataFrame:
-    """Drains a change stream through Structured Streaming into a file sink and reads what arrived."""
-    out = scratch(t.spark)
-    stream = as_stream(t.spark, t.events.select("event_id", "user_id"))
-    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/rows").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.read.parquet(f"{out}/rows").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
-
-
 @QUERIES.add("cdc_positions", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS lsn FROM events")
 def cdc_positions(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

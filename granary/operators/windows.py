@@ -1,8 +1,8 @@
 """Window functions.
 
 Spark runs a window without PARTITION BY in one task, and explain() flags such
-plans. Global totals are computed as one broadcast row and global row numbers
-by a range shuffle instead.
+plans. Global totals are computed as one broadcast row, and global row numbers
+and ranks within a few large groups by a range shuffle instead.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from granary.plans.definition import QuerySet
-from granary.plans.ordering import global_row_number
+from granary.plans.ordering import cume_dist, dense_rank, global_row_number, ntile, percent_rank, rank, ranked
 from granary.sources.tables import Tables
 
 QUERIES = QuerySet()
@@ -23,10 +23,6 @@ def by_customer() -> WindowSpec:
     return Window.partitionBy("o_custkey").orderBy("o_orderkey")
 
 
-def by_status() -> WindowSpec:
-    return Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
-
-
 @QUERIES.add("win_row_number", f"SELECT o_orderkey, CAST(row_number() OVER {SQL_BY_CUSTOMER} AS INTEGER) AS r FROM orders")
 def win_row_number(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.row_number().over(by_customer()).alias("r"))
@@ -38,29 +34,33 @@ def win_row_number_global(t: Tables) -> DataFrame:
     return numbered.select("o_orderkey", F.col("r").cast("int").alias("r"))
 
 
+def _by_status(t: Tables, order: str, **columns) -> DataFrame:
+    return ranked(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus"], [order], **columns).select("o_orderkey", *columns)
+
+
 @QUERIES.add("win_rank", f"SELECT o_orderkey, CAST(rank() OVER {SQL_BY_STATUS} AS INTEGER) AS r FROM orders")
 def win_rank(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.rank().over(by_status()).alias("r"))
+    return _by_status(t, "o_orderpriority", r=rank())
 
 
 @QUERIES.add("win_dense_rank", f"SELECT o_orderkey, CAST(dense_rank() OVER {SQL_BY_STATUS} AS INTEGER) AS r FROM orders")
 def win_dense_rank(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.dense_rank().over(by_status()).alias("r"))
+    return _by_status(t, "o_orderpriority", r=dense_rank())
 
 
 @QUERIES.add("win_ntile", "SELECT o_orderkey, CAST(ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS INTEGER) AS q FROM orders")
 def win_ntile(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.ntile(4).over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")).alias("q"))
+    return _by_status(t, "o_orderkey", q=ntile(4))
 
 
 @QUERIES.add("win_percent_rank", f"SELECT o_orderkey, round(percent_rank() OVER {SQL_BY_STATUS}, 9) AS p FROM orders")
 def win_percent_rank(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.round(F.percent_rank().over(by_status()), 9).alias("p"))
+    return _by_status(t, "o_orderpriority", p=F.round(percent_rank(), 9))
 
 
 @QUERIES.add("win_cume_dist", f"SELECT o_orderkey, round(cume_dist() OVER {SQL_BY_STATUS}, 9) AS p FROM orders")
 def win_cume_dist(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.round(F.cume_dist().over(by_status()), 9).alias("p"))
+    return _by_status(t, "o_orderpriority", p=F.round(cume_dist(), 9))
 
 
 @QUERIES.add("win_sum_total", "SELECT o_orderkey, CAST(sum(o_custkey) OVER () AS BIGINT) AS s FROM orders")

@@ -11,7 +11,9 @@ from pyspark.sql.types import StructType
 
 def _tagged(column: str, spark_type: str) -> Column:
     """A value with its type and length, so that no two rows of different values read alike."""
-    text = F.hex(F.col(f"`{column}`")) if spark_type == "binary" else F.to_json(F.struct(F.col(f"`{column}`").alias("v")))
+    value = F.col(f"`{column}`")
+    nested = spark_type.startswith(("array", "map", "struct"))
+    text = F.hex(value) if spark_type == "binary" else F.to_json(F.struct(value.alias("v"))) if nested else value.cast("string")
     return F.concat(F.lit(f"{spark_type}:"), F.coalesce(F.length(text).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit("")))
 
 

@@ -1,7 +1,9 @@
-"""The folder that the driver and all executors share, and checkpoints in it."""
+"""The folder that the driver and all executors share, and checkpoints and scratch folders in it, which are deleted when the process ends."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -19,9 +21,29 @@ def shared_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="granary-")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str = "scratch") -> str:
-    """A new folder's path under shared_root()."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path under shared_root(). It goes when the process ends, or before that by discard()."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean() -> None:
+    session = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the session may have been stopped; then its owner clears the folder
+        for path in _made if session else ():
+            discard(session, path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

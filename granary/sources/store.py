@@ -35,6 +35,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from granary.functions.routing import Modulo, bucket_column, hash_key
 from granary.sources.files import AlreadyThere, Folder
+from granary.sources.shared import scratch
 from granary.streaming.changelog import ChangeLog
 
 BUCKET = "__bucket"
@@ -452,6 +453,13 @@ class Store:
         return rows.groupBy(F.col(BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def stored(spark: SparkSession, rows: DataFrame, key: str, buckets: int) -> Store:
+    """A table of ``rows`` in a scratch folder, with a primary key."""
+    made = Store.create(spark, f"{scratch(spark, 'store')}/rows", Definition.of(rows.schema, key=key, buckets=buckets, primary_key=[key]))
+    made.insert(rows)
+    return made
+
+
 @contextmanager
 def joint_transaction(stores: Sequence[Store]):
     """Writes to all the stores inside become one version of each, or none of any. Stores may be added to the list inside the block."""

@@ -167,3 +167,18 @@ def test_global_row_number(spark):
     got = global_row_number(rows, F.desc("k"), "id", name="r").collect()
     assert [r.r for r in sorted(got, key=lambda r: (-r.k, r.id))] == list(range(1, 1001))
     assert global_row_number(rows.limit(0), "k", name="r").count() == 0
+
+
+def test_ranks_without_a_task_for_a_group(spark):
+    from pyspark.sql import Window
+
+    from granary.plans.ordering import cume_dist, dense_rank, ntile, percent_rank, rank, ranked
+
+    rows = spark.range(3000, numPartitions=5).select("id", F.when(F.col("id") % 50 > 0, F.lit("hot")).otherwise(F.nullif(F.concat(F.lit("g"), F.col("id") % 7), F.lit("g3"))).alias("g"), F.nullif(F.col("id") * 7919 % 211, F.lit(5)).alias("k"))
+    got = ranked(rows, ["g"], ["k"], r=rank(), d=dense_rank(), p=F.round(percent_rank(), 9), c=F.round(cume_dist(), 9))
+    w = Window.partitionBy("g").orderBy("k")
+    want = rows.select("id", "g", "k", F.rank().over(w), F.dense_rank().over(w), F.round(F.percent_rank().over(w), 9), F.round(F.cume_dist().over(w), 9))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    for n in (1, 4, 7, 5000):
+        tiles = ranked(rows, ["g"], ["id"], q=ntile(n)).select("id", "q")
+        assert sorted(map(tuple, tiles.collect())) == sorted(map(tuple, rows.select("id", F.ntile(n).over(Window.partitionBy("g").orderBy("id"))).collect()))

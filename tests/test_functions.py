@@ -86,3 +86,8 @@ def test_linear_growth_moves_one_bucket(spark):
         assert grown.buckets == routing.buckets + 1
         assert set(before[moved]) == {routing.split} and set(after[moved]) == {routing.buckets}
         routing = grown
+
+
+def test_like_folds_ascii_only_and_has_no_escape(spark):
+    row = spark.sql("SELECT 'É' AS a, 'AbC' AS b, 'a\\\\%c' AS c").select(compat.like(F.col("a"), "é"), compat.like(F.col("b"), "aB_"), compat.like(F.col("c"), "A\\%C"), compat.like(F.col("b"), "a\\%c")).first()
+    assert tuple(row) == (False, True, True, False)
