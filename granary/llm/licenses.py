@@ -8,7 +8,9 @@
 3. Spark joins the grams to template positions. A match at word i of a text and
    word j of a template votes for the diagonal i - j.
 4. Votes are counted by text, template and diagonal, and neighbouring
-   diagonals (insertions, deletions) are merged.
+   diagonals (insertions, deletions) are merged: those of a notice once within
+   NEIGHBOURS words and once within half its length, so that a long insertion
+   doesn't part a notice and scattered votes don't spoil a compact one.
 5. Spans are verified: a phrase needs all its grams on one diagonal, which is
    exact; a notice needs MIN_COVER of its gram positions, each counted once, in
    a span of at most MAX_STRETCH times its length.
@@ -18,8 +20,10 @@ its words by more than the templates' repeats. Rows are told apart by a row id
 that one pass gives and carries through.
 
 Defined results: a null text counts as empty and has no labels and score 0;
-ids may repeat or be null; an empty table gives an empty result; other columns
-aren't read.
+ids may repeat or be null; labels are sorted by code point; a text of any
+length is coded whole, by one task, and only its grams that some template has
+travel further; an empty table gives an empty result; other columns aren't
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ FOLD = bytes(
 )
 MIN_COVER = 0.5
 MAX_STRETCH = 2.0
-#: Diagonals at most this far apart belong to one span.
+#: Diagonals of a notice that are at most this far apart belong to one span.
 NEIGHBOURS = 4
 
 
@@ -192,10 +196,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         .agg(F.first("doc_id").alias("doc_id"), F.first("pos").alias("pos"), F.collect_set("tpos").alias("found"))
     )
     known = votes.join(F.broadcast(facts), "template", "left")
-    line = Window.partitionBy("rid", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(line) > F.when(F.col("exact"), 0).otherwise(NEIGHBOURS)).cast("int")
+    reaches = F.when(F.col("exact") | F.col("exact").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(NEIGHBOURS).cast("long"), F.expr("words div 2")))
+    known = known.select("*", F.explode(reaches).alias("reach"))
+    line = Window.partitionBy("rid", "template", "reach").orderBy("diagonal")
+    apart = (F.col("diagonal") - F.lag("diagonal").over(line) > F.col("reach")).cast("int")
     runs = known.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(line))
-    merged = runs.groupBy("rid", "template", "run").agg(
+    merged = runs.groupBy("rid", "template", "reach", "run").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("pos").alias("pos"),
         *[F.first(c).alias(c) for c in ("label", "base", "exact", "words", "grams", "size")],
@@ -216,7 +222,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(F.col("ok"), F.col("cover"))), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("start", "stop", "label", "cover")))).alias("spans"),
+        F.sort_array(F.collect_set(F.when(F.col("ok"), F.struct("start", "stop", "label", "cover")))).alias("spans"),
     )
     return whole.drop("rid")
 
@@ -225,5 +231,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-#: The notices' merged diagonals have no short SQL; tests compare with brute force, the base columns exactly.
-ORACLE = None
+def _oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lists = []
+    for i, t in enumerate(TEMPLATES):
+        words = [w.decode() for w in t.words]
+        for j in range(len(words) - t.k + 1):
+            lists.append(f"({i}, {t.k}, {j}, '{' '.join(words[j : j + t.k])}')")
+    facts = ", ".join(f"({i}, '{t.label}', {t.base}, {t.exact}, {len(t.words)}, {len(t.words) - t.k + 1}, {t.k})" for i, t in enumerate(TEMPLATES))
+    grams = " UNION ALL ".join(f"SELECT r, {k} AS k, i - 1 AS pos, array_to_string(ws[i : i + {k - 1}], ' ') AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - {k} + 2)) AS i FROM w)" for k in sorted({t.k for t in TEMPLATES}))
+    return rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p(t, k, tpos, gram) AS (VALUES {", ".join(lists)}),
+f(t, label, base, exact, words, grams, size) AS (VALUES {facts}),
+g AS ({grams}),
+v AS (SELECT r, t, pos - tpos AS d, list(DISTINCT tpos) AS hits FROM g JOIN p USING (k, gram) GROUP BY ALL),
+known AS (SELECT v.*, f.* EXCLUDE (t), unnest(CASE WHEN exact THEN [0] ELSE [{NEIGHBOURS}, words // 2] END) AS reach FROM v JOIN f USING (t)),
+lagged AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, t, reach ORDER BY d) > reach THEN 1 ELSE 0 END AS apart FROM known),
+runs AS (SELECT *, sum(apart) OVER (PARTITION BY r, t, reach ORDER BY d) AS run FROM lagged),
+m AS (SELECT r, t, reach, run, any_value(label) AS label, any_value(base) AS base, any_value(exact) AS exact, any_value(words) AS words, any_value(grams) AS grams,
+  min(d + list_min(hits)) AS start, max(d + list_max(hits) + size) AS stop, len(list_distinct(flatten(list(hits)))) AS votes FROM runs GROUP BY r, t, reach, run),
+ok AS (SELECT *, votes / grams AS cover FROM m WHERE CASE WHEN exact THEN votes = grams ELSE votes / grams >= {MIN_COVER} AND stop - start <= {MAX_STRETCH} * words END),
+s AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM ok GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN s USING (r)"""
+
+
+ORACLE = _oracle()

@@ -15,10 +15,11 @@
    rest runs out, and in that one documents are taken in hash order as long as
    they fit, and a few swapped for a closer fit. No pattern's documents ever meet in one task, only one bucket's.
 
-Defined results: a null text has size 0 and takes nothing; a null source is a
-source and ranks last; ids may repeat or be null (rows alike in id and size
-share one hash place); an empty table gives an empty result; other columns
-aren't read. Reruns agree.
+Defined results: a null or empty text has size 0 and takes nothing; a null
+source is a source and ranks last; ids may repeat or be null (rows alike in id
+and size share one hash place); a text of any length is counted whole; an empty
+table gives an empty result; other columns aren't read, whatever their names.
+Reruns agree.
 """
 
 from __future__ import annotations
@@ -69,12 +70,26 @@ def targets(sizes: dict, weights: Sequence[int] = WEIGHTS, max_repeats: int = MA
 
 
 def route(patterns: dict[Pattern, int], quotas: dict, max_repeats: int = MAX_REPEATS) -> dict[Pattern, int]:
-    """Words that each pattern gives, by successive shortest paths on pattern layers, sources and a sink.
+    """Words that each pattern gives: a flow of least cost over pattern layers, sources and a sink.
 
     Layer k of a pattern (its k-th repetition) holds its size at cost k a
     word, so flow fills first repetitions before second ones wherever the
-    quotas allow. Graph size follows patterns and sources only.
+    quotas allow. Patterns of one source that no other pattern shares have no
+    choice and are settled at once. For the others paths are found by length:
+    the potentials make all shortest paths free, and a maximum flow over free
+    edges (levels and blocking flows) uses all of them together, so the number
+    of searches follows the few lengths that small integer costs have.
     """
+    degree: dict = {}
+    for p in patterns:
+        for s in p:
+            degree[s] = degree.get(s, 0) + 1
+    settled = {p: min(int(quotas[p[0]]), max_repeats * n) for p, n in patterns.items() if len(p) == 1 and degree[p[0]] == 1}
+    shared = {p: n for p, n in patterns.items() if p not in settled}
+    return {p: settled[p] if p in settled else flow for p, flow in (settled | _flow(shared, quotas, max_repeats)).items()}
+
+
+def _flow(patterns: dict[Pattern, int], quotas: dict, max_repeats: int) -> dict[Pattern, int]:
     graph: list[list[int]] = []
     to: list[int] = []
     cap: list[int] = []
@@ -91,7 +106,8 @@ def route(patterns: dict[Pattern, int], quotas: dict, max_repeats: int = MAX_REP
         return len(to) - 2
 
     start, sink = node(), node()
-    source_node = {s: node() for s in source_order(quotas)}
+    sources = source_order({s for p in patterns for s in p})
+    source_node = {s: node() for s in sources}
     for s, n in source_node.items():
         edge(n, sink, int(quotas[s]), 0)
     layers: dict[Pattern, list[int]] = {}
@@ -102,28 +118,64 @@ def route(patterns: dict[Pattern, int], quotas: dict, max_repeats: int = MAX_REP
             edge(n, source_node[s], max_repeats * patterns[p], 0)
     potential = [0] * len(graph)
     while True:
-        distance, via = [None] * len(graph), [-1] * len(graph)
+        distance: list = [None] * len(graph)
         distance[start], heap = 0, [(0, start)]
         while heap:
             d, a = heapq.heappop(heap)
             if d > distance[a]:
                 continue
             for e in graph[a]:
-                b = to[e]
-                if cap[e] > 0 and (distance[b] is None or d + cost[e] + potential[a] - potential[b] < distance[b]):
-                    distance[b], via[b] = d + cost[e] + potential[a] - potential[b], e
-                    heapq.heappush(heap, (distance[b], b))
+                if cap[e] > 0:
+                    b, there = to[e], d + cost[e] + potential[a] - potential[to[e]]
+                    if distance[b] is None or there < distance[b]:
+                        distance[b] = there
+                        heapq.heappush(heap, (there, b))
         if distance[sink] is None:
             return {p: sum(cap[e ^ 1] for e in es) for p, es in layers.items()}
-        potential = [v + (d or 0) for v, d in zip(potential, distance, strict=True)]
-        path, b = [], sink
-        while b != start:
-            path.append(via[b])
-            b = to[via[b] ^ 1]
-        most = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= most
-            cap[e ^ 1] += most
+        # Nodes beyond the sink move as far as it does, which keeps all reduced costs at zero or more.
+        potential = [v + (distance[sink] if d is None else min(d, distance[sink])) for v, d in zip(potential, distance, strict=True)]
+        _free_flow(graph, to, cap, cost, potential, start, sink)
+
+
+def _free_flow(graph, to, cap, cost, potential, start: int, sink: int) -> None:
+    """A maximum flow over edges without reduced cost."""
+    free = lambda a, e: cap[e] > 0 and cost[e] + potential[a] - potential[to[e]] == 0
+    while True:
+        level = {start: 0}
+        queue = [start]
+        for a in queue:
+            for e in graph[a]:
+                if to[e] not in level and free(a, e):
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if sink not in level:
+            return
+        at = dict.fromkeys(level, 0)
+        path: list[int] = []
+        a = start
+        while True:
+            if a == sink:
+                most = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= most
+                    cap[e ^ 1] += most
+                full = next(i for i, e in enumerate(path) if not cap[e])
+                a, path = to[path[full] ^ 1], path[:full]
+                continue
+            while at[a] < len(graph[a]):
+                e = graph[a][at[a]]
+                if level.get(to[e]) == level[a] + 1 and free(a, e):
+                    break
+                at[a] += 1
+            else:
+                if a == start:
+                    break
+                e = path.pop()
+                a = to[e ^ 1]
+                at[a] += 1
+                continue
+            path.append(e)
+            a = to[e]
 
 
 def fill(sizes: Sequence[int], counts: Sequence[int], left: int, swaps: int = 8) -> list[int]:

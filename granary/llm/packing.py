@@ -16,8 +16,11 @@ A group's items are (id, length) pairs, never texts, so a group is a few
 hundred kilobytes at any input size.
 
 Defined results: a null or empty text has no words and gets a row with
-seq_id null; ids may repeat or be null (each row is an item of its own); an
-empty table gives an empty result; other columns aren't read.
+seq_id null; ids may repeat or be null (each row is an item of its own); a text
+of any length is cut into pieces; of items of one length the one with the
+smaller seeded hash comes first, of bins with equal room the latest is filled,
+of rules of equal cost the first is kept; an empty table gives an empty result;
+other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

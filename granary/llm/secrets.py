@@ -5,15 +5,19 @@
    uses. Both the trigrams and the clauses follow the rules, not the data.
 3. Postings are intersected clause by clause (a bit for each trigram, combined
    map-side), which leaves candidate documents for each rule.
-4. Candidates are verified by the rule's regex on their whole texts. A rule
-   whose query has no trigram scans every text.
+4. Candidates are verified by the rule's regex on their whole texts. A filter of
+   fixed size over the candidates tells where a text is read whether it may be
+   one; only those that may be are shuffled to their rules. A rule whose query
+   has no trigram scans every text where it is read.
 
 Spans are found natively: the texts between matches and the matches
 themselves give the matches' places by running sums of their lengths.
 
 Defined results: a null text counts as empty; ids may repeat or be null (rows
-alike in id and text share candidates, each row has its result); an empty
-table gives an empty result; other columns aren't read.
+alike in id and text share candidates, each row has its result); a text of any
+length is scanned whole, in its row; spans that start at one place stand in the
+rules' order; an empty table gives an empty result; other columns aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import KEY_NAMES, row_key, table, text_or_empty
+from granary.llm.common import KEY_NAMES, checkpointed, hash_filter, row_key, table, text_or_empty, with_hit
 from granary.llm.trigrams import ALWAYS, trigram_query
 
 
@@ -104,8 +108,13 @@ def with_spans(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_co
     """The ``keep`` columns and, for each rule, spans_<kind>: an array of (start, order, end, kind, checked) in code points."""
     full = {i for i, r in enumerate(rules) if trigram_query(r.pattern) == ALWAYS}
     keyed = docs.select(*[docs[c] for c in keep], text_or_empty(docs[text_col]).alias("__text"), *row_key(docs[text_col], docs[id_col]))
-    joined = keyed.join(candidates(docs, rules, id_col, text_col), KEY_NAMES, "left")
-    due = {i: F.col("__text").rlike(r.pattern) if i in full else F.array_contains("__rules", i) & F.col("__text").rlike(r.pattern) for i, r in enumerate(rules)}
+    found = checkpointed(candidates(docs, rules, id_col, text_col))
+    code = F.xxhash64(*KEY_NAMES)
+    tagged = with_hit(keyed, "__hit", code, hash_filter(found.select(code.alias("h"))))
+    none = F.lit(None).cast("array<int>").alias("__rules")
+    sure = tagged.where("not __hit").select(*keep, "__text", none)
+    joined = sure.unionByName(tagged.where("__hit").join(found, KEY_NAMES, "left").select(*keep, "__text", "__rules"))
+    due = {i: F.col("__text").rlike(r.pattern) if i in full else F.coalesce(F.array_contains("__rules", i), F.lit(False)) & F.col("__text").rlike(r.pattern) for i, r in enumerate(rules)}
     step = joined.select(*keep, *[F.when(due[i], _lengths(F.col("__text"), r)).alias(f"__l{i}") for i, r in enumerate(rules)])
     step = step.select("*", *[F.when(F.col(f"__l{i}").isNotNull(), _block_starts(f"__l{i}")).alias(f"__b{i}") for i in range(len(rules))])
     return step.select(*keep, *[_spans(f"__l{i}", f"__b{i}", r, i).alias(f"spans_{r.kind}") for i, r in enumerate(rules)])

@@ -8,7 +8,9 @@ Fit, on labelled rows whose crc32(id) mod HOLD_OUT isn't HELD:
    feature; the FEATURES with the largest divergence between labels stay, each
    with its log-count ratio r.
 3. A logistic regression with L2 over the present features, each scaled by its
-   r, is fitted to the sample on the driver: rows go there as feature numbers.
+   r, is fitted to the sample on the driver: rows go there as feature numbers of
+   two octets, at most 2 * SAMPLE * FEATURES of them (160 MB if every text had
+   every feature), and are worked through FIT_ROWS at a time.
 
 Score: one pass over all whole texts with the weights broadcast (one number
 for each of 2 ** BITS features).
@@ -16,8 +18,10 @@ for each of 2 ** BITS features).
 Labels, lang, source and ids are never inputs of a score. Defined results: a
 null text counts as empty and is scored; a null id isn't held out and has no
 label; an id labelled twice is toxic if any label says so; without rows of
-both labels the score is the share of toxic rows, 0 if there are none; an
-empty table gives an empty result; other columns aren't read.
+both labels the score is the share of toxic rows, 0 if there are none; features
+of equal divergence rank by their number; a text of any length is counted and
+scored whole, by one task; repeated rows score alike; an empty table gives an
+empty result; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ MIN_DOCS = 3
 ALPHA = 1.0
 L2 = 1e-5
 STEPS = 400
+#: Rows of the sample whose features are expanded at a time.
+FIT_ROWS = 512
 SEED = 6
 HOLD_OUT, HELD = 4, 2
 THRESHOLD = 0.3
@@ -100,8 +106,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     known = known.where(~held_out(id_col)).select(F.col(id_col).alias("__id"), "__toxic", F.xxhash64(id_col, F.lit(SEED)).alias("__order"))
     parts = [known.where(F.col("__toxic") == label).orderBy("__order", "__id").limit(sample) for label in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select("__id", "__toxic")
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col("__toxic").alias("toxic"), docs[text_col].alias("text"))
-    return checkpointed(rows)
+    texts = docs.select(docs[id_col].alias("__doc"), docs[text_col].alias("text"))
+    return checkpointed(texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(F.col("__toxic").alias("toxic"), "text"))
 
 
 def _counted(batches: Iterator) -> Iterator:
@@ -135,31 +141,43 @@ def _present(chosen):
             found = []
             for text in batch.column("text"):
                 at = place[features(text.as_py())]
-                found.append(at[at >= 0].astype("<i4").tobytes())
+                found.append(at[at >= 0].astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "present"])
 
     return run
 
 
 def logistic(rows: list, labels, ratios, steps: int = STEPS, l2: float = L2):
-    """Weights and bias by accelerated gradient descent; rows: arrays of feature places."""
+    """Weights and bias by accelerated gradient descent; rows: arrays of feature places. Features are expanded for FIT_ROWS rows at a time."""
     import numpy as np
 
-    lengths = np.array([len(x) for x in rows])
-    columns = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    row_of = np.repeat(np.arange(len(rows)), lengths)
-    scaled = ratios[columns]
     y = np.asarray(labels, np.float64)
+    lengths = np.array([len(x) for x in rows])
+    squares = ratios**2
     # A bound of the loss's curvature: a quarter of the largest squared row norm on average.
-    norms = np.bincount(row_of, scaled**2, len(rows)) + 1
+    norms = np.array([squares[x].sum() for x in rows]) + 1
     rate = 1 / (0.25 * norms.mean() * 4 + l2)
     w, bias = np.zeros(len(ratios)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    parts = [(i, np.concatenate(rows[i : i + FIT_ROWS]), np.repeat(np.arange(len(lengths[i : i + FIT_ROWS])), lengths[i : i + FIT_ROWS])) for i in range(0, len(rows), FIT_ROWS)] if len(rows) * len(ratios) <= 1 << 22 else None
+
+    def blocks():
+        if parts:
+            yield from parts
+        else:
+            for i in range(0, len(rows), FIT_ROWS):
+                own = lengths[i : i + FIT_ROWS]
+                yield i, np.concatenate(rows[i : i + FIT_ROWS]), np.repeat(np.arange(len(own)), own)
+
     look_w, look_b, t = w, bias, 1.0
     for _ in range(steps):
-        z = np.bincount(row_of, scaled * look_w[columns], len(rows)) + look_b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-        grad = np.bincount(columns, scaled * error[row_of], len(ratios)) + l2 * look_w
-        new_w, new_b = look_w - rate * grad, look_b - rate * error.sum()
+        grad, slope, scaled = l2 * look_w, 0.0, ratios * look_w
+        for i, columns, row_of in blocks():
+            own = y[i : i + FIT_ROWS]
+            z = np.bincount(row_of, scaled[columns], len(own)) + look_b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - own) / len(rows)
+            grad = grad + ratios * np.bincount(columns, error[row_of], len(ratios))
+            slope += error.sum()
+        new_w, new_b = look_w - rate * grad, look_b - rate * slope
         t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         look_w, look_b = new_w + (old - 1) / t * (new_w - w), new_b + (old - 1) / t * (new_b - bias)
         w, bias = new_w, new_b
@@ -182,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     places, ratios = np.array([f for f, _ in rated]), np.array([r for _, r in rated])
     chosen = docs.sparkSession.sparkContext.broadcast(places)
     found = sorted((r["toxic"], bytes(r["present"])) for r in rows.mapInArrow(_present(chosen), "toxic int, present binary").collect())
-    w, bias = logistic([np.frombuffer(x, "<i4") for _, x in found], [y for y, _ in found], ratios)
+    w, bias = logistic([np.frombuffer(x, "<u2") for _, x in found], [y for y, _ in found], ratios)
     weights[places] = w * ratios
     return Model(weights, bias)
 

@@ -100,7 +100,10 @@ def test_packing_empty_and_reruns(spark):
 
 
 def test_sharding_matches_sql(spark, duck):
-    assert_same(sharding.query(spark, DATA), duck.sql(sharding.ORACLE))
+    found = sharding.query(spark, DATA)
+    assert_same(found, duck.sql(sharding.ORACLE))
+    facts = found.agg(F.count_distinct("shard").alias("n"), F.count_distinct("depth").alias("d")).first()
+    assert facts.n > 20 and facts.d > 1
 
 
 @pytest.mark.parametrize("limit", [20_000, 3_000, 300])
@@ -108,17 +111,18 @@ def test_shards_by_brute_force(spark, limit, monkeypatch):
     monkeypatch.setattr(sharding, "MAX_CELL_BITS", 6)  # so that several rounds are needed
     rows = [(i, 13 * i % 90, "s") for i in range(300)] + [(7, 50, "s")] * 40 + [(None, None, "s"), (400, 0, "s"), (500, 9000, "s")]
     docs = frame(spark, rows)
-    keyed = {(r.bits): r.bytes for r in sharding.keyed(docs).collect()}
+    keyed = sorted((r.bits, r.bytes) for r in sharding.keyed(docs, limit=limit)[1].collect())
     found = sharding.shards(docs, limit=limit).collect()
     assert len(found) == len(rows)
-    want = {}
-    for bits in keyed:
-        for depth in range(97):
-            inside = [b for k, b in keyed.items() if k.startswith(bits[:depth])]
-            if sum(inside) <= limit or len(inside) == 1 or depth == 96:
-                want[bits] = (bits[:depth], sum(inside), len(inside))
+    want = []
+    for bits, _ in keyed:
+        for depth in range(161):
+            inside = [b for k, b in keyed if k.startswith(bits[:depth])]
+            if sum(inside) <= limit or len(inside) == 1 or depth == 160:
+                want.append((bits[:depth], sum(inside), len(inside)))
                 break
-    assert Counter((r.shard, r.shard_bytes, r.shard_docs) for r in found) == Counter(want.values())
+    assert len(want) == len(rows) and any(int(b[96:], 2) for b, _ in keyed) == (40 * 189 > limit)
+    assert Counter((r.shard, r.shard_bytes, r.shard_docs) for r in found) == Counter(want)
     assert all(r.depth == len(r.shard) and (r.shard_bytes <= limit or r.shard_docs == 1) for r in found)
 
 
