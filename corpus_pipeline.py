@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import exact_dedup, mixing, near_copies, packing, quality_rules
 from granary.llm.common import scratch, table
+from granary.sources.shared import discard
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each stage reads what the one before wrote."""
+    """Applies STAGES to documents; each stage reads what the one before wrote, which is deleted when the next is done.
+
+    Null and empty texts fail the quality rules and go there. Rows alike in id
+    and text are exact copies, of which one stays; a null id stays if no row of
+    its group has an id. Texts of any length are kept whole. Ties are settled as
+    each operator says. An empty table gives an empty result.
+    """
     folder, docs = scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}.parquet"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        if k:
+            discard(spark, f"{folder}/{k - 1}.parquet")
         docs = spark.read.parquet(path)
     return docs
