@@ -155,18 +155,21 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: st
     archives.write.mode("overwrite").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The data of each gzip member that has any."""
+def members(content: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """The data of each gzip member that has any. What follows a member is looked at ``step`` octets at a time, since it is copied."""
     import zlib
 
-    view = memoryview(content)
-    while len(view):
-        stream = zlib.decompressobj(31)
-        data = stream.decompress(view) + stream.flush()
-        if not stream.eof:
-            raise ValueError("an archive ends within a member")
-        view = view[len(view) - len(stream.unused_data) :]
-        if data:
+    view, at = memoryview(content), 0
+    while at < len(view):
+        stream, parts = zlib.decompressobj(31), []
+        while not stream.eof:
+            if at >= len(view):
+                raise ValueError("an archive ends within a member")
+            piece = view[at : at + step]
+            parts.append(stream.decompress(piece))
+            at += len(piece)
+        at -= len(stream.unused_data)
+        if data := b"".join(parts):
             yield data
 
 
