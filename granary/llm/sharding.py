@@ -11,7 +11,8 @@ That is found by aggregation: bytes are summed by cells of some bits (map-side
 combination, a bounded number of cells), the cells' sums are rolled up to all
 shorter prefixes, and each cell takes the shortest that fits. Only rows of
 cells that don't fit go to another round with further bits. The directory
-stays a table and is broadcast only while its number of cells is bounded.
+stays a table; the first round's, of at most 2 ** MAX_CELL_BITS cells with a
+depth each, is broadcast.
 
 Texts are shuffled once, to be written by shard. Rows alike that exceed the
 limit are staged before, each with its own number, so that the directory and
@@ -28,6 +29,7 @@ written, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from granary.llm.common import checkpointed, hash_filter, packed, scratch, table, text_or_empty, with_hit
 
-LIMIT_BYTES = 128 << 10
+LIMIT_BYTES = 320 << 10
 #: Bits of the id's and text's hashes, and of all.
 OWN_BITS, KEY_BITS = 96, 160
-#: Cells of a round beyond the shards that the total needs, as bits; and the most cells that are broadcast.
+#: Cells of a round beyond the shards that the total needs, and at most, as bits. 2 ** 18 cells and depths take about 12 MB.
 SPARE_BITS = 4
-MAX_CELL_BITS = 20
-BROADCAST_BITS = 14
+MAX_CELL_BITS = 18
 
 
 def _binary(hex_digits: Column, bits: int) -> Column:
@@ -73,36 +74,42 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     return wide, checkpointed(light.unionByName(staged_rows.select("bytes", "bits")))
 
 
-def directories(rows: DataFrame, limit: int = LIMIT_BYTES) -> list[tuple[int, DataFrame, bool]]:
-    """For each round, the bits of its cells, the shard of each cell that fits (__cell, depth, shard, shard_bytes, shard_docs), and whether that may be broadcast; from rows with bytes and bits."""
+def _cell(stop: int) -> Column:
+    """The first ``stop`` bits: as a number while that has room for them."""
+    first = F.substring("bits", 1, stop)
+    return (F.conv(first, 2, 10).cast("long") if stop < 63 else first).alias("__cell")
+
+
+def directories(rows: DataFrame, limit: int = LIMIT_BYTES) -> list[tuple[int, DataFrame]]:
+    """For each round, the bits of its cells, and the shard of each cell that fits (__cell, depth, shard_bytes, shard_docs); from rows with bytes and bits."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     step = min(MAX_CELL_BITS, max(SPARE_BITS, math.ceil(math.log2(max(1, total / limit))) + SPARE_BITS))
     found, start = [], 0
     while True:
         stop = min(KEY_BITS, start + step)
-        cells = checkpointed(rows.groupBy(F.substring("bits", 1, stop).alias("__cell")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")))
+        cells = checkpointed(rows.groupBy(F.substring("bits", 1, stop).alias("bits")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")))
         level = cells.select("*", F.explode(F.sequence(F.lit(start), F.lit(stop))).alias("depth"))
-        prefix = F.substring("__cell", F.lit(1), F.col("depth")).alias("shard")
+        prefix = F.substring("bits", F.lit(1), F.col("depth")).alias("shard")
         level = level.select("*", prefix)
         sums = level.groupBy("depth", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         fitting = sums.where((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == KEY_BITS))
-        choice = F.min(F.struct("depth", "shard", "shard_bytes", "shard_docs")).alias("c")
-        directory = checkpointed(level.join(fitting, ["depth", "shard"]).groupBy("__cell").agg(choice).select("__cell", "c.*"))
-        found.append((stop, directory, start == 0 and stop <= BROADCAST_BITS))
+        choice = F.min(F.struct("depth", "shard_bytes", "shard_docs")).alias("c")
+        directory = checkpointed(level.join(fitting, ["depth", "shard"]).groupBy("bits").agg(choice).select(_cell(stop), "c.*"))
+        found.append((stop, directory))
         if stop == KEY_BITS or cells.count() == directory.count():
             return found
-        open_ = cells.join(directory, "__cell", "left_anti").select("__cell")
-        rows = checkpointed(rows.withColumn("__cell", F.substring("bits", 1, stop)).join(open_, "__cell", "left_semi").select("bytes", "bits"))
+        open_ = cells.select(_cell(stop)).join(directory, "__cell", "left_anti")
+        rows = checkpointed(rows.select("bytes", "bits", _cell(stop)).join(open_, "__cell", "left_semi").select("bytes", "bits"))
         start = stop
 
 
-def place(rows: DataFrame, found: list[tuple[int, DataFrame, bool]]) -> DataFrame:
-    """Adds shard (its prefix of bits), depth, shard_bytes and shard_docs to rows with bits."""
+def place(rows: DataFrame, found: list[tuple[int, DataFrame]], report: Sequence[str] = ()) -> DataFrame:
+    """Adds shard (its prefix of bits), depth and the ``report`` columns of the directory to rows with bits."""
     done, names = [], rows.columns
-    for stop, directory, bounded in found:
-        cells = F.broadcast(directory) if bounded else directory
-        joined = rows.withColumn("__cell", F.substring("bits", 1, stop)).join(cells, "__cell", "left")
-        done.append(joined.where("depth is not null").select(*names, "shard", "depth", "shard_bytes", "shard_docs"))
+    for k, (stop, directory) in enumerate(found):
+        cells = directory.select("__cell", F.col("depth").cast("short").alias("depth"), *report)
+        joined = rows.select(*names, _cell(stop)).join(F.broadcast(cells) if k == 0 else cells, "__cell", "left")
+        done.append(joined.where("depth is not null").select(*names, F.substring("bits", F.lit(1), F.col("depth").cast("int")).alias("shard"), F.col("depth").cast("int").alias("depth"), *report))
         rows = joined.where("depth is null").select(*names)
     out = done[0]
     for part in done[1:]:
@@ -113,7 +120,7 @@ def place(rows: DataFrame, found: list[tuple[int, DataFrame, bool]]) -> DataFram
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """A row for each document: doc_id, bytes, shard, depth, shard_bytes, shard_docs."""
     wide, rows = keyed(docs, id_col, text_col, limit)
-    return place(wide.select(F.col("__row")[id_col].alias("doc_id"), "bytes", "bits"), directories(rows, limit)).drop("bits")
+    return place(wide.select(F.col("__row")[id_col].alias("doc_id"), "bytes", "bits"), directories(rows, limit), ["shard_bytes", "shard_docs"]).select("doc_id", "bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
 
 def shard_column(docs: DataFrame) -> str:
