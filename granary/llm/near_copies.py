@@ -57,6 +57,8 @@ RECALL = 0.98
 PREFIX_BITS, MAX_PREFIX = 12, 32
 #: Classes that a sub-trie holds on average at most.
 SUB_TRIE = 64
+#: Leaves of the traversal: a budget this wide prunes pairs of larger nodes only.
+DIRECT = 1024
 BLOCK_BYTES = 1 << 20
 
 
@@ -145,7 +147,7 @@ def _joined(rows):
     order = np.lexsort((low, high, rows[:, 0]))
     keys = rows[order, 0]
     forest = Forest(len(nodes))
-    join_tries(np.r_[0, np.cumsum(keys[1:] != keys[:-1])], [high[order], low[order]], member[order], forest, BUDGET)
+    join_tries(np.r_[0, np.cumsum(keys[1:] != keys[:-1])], [high[order], low[order]], member[order], forest, BUDGET, DIRECT)
     member, root = forest.stars()
     return nodes[member], nodes[root]
 

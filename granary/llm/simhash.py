@@ -43,8 +43,10 @@ SHINGLE_WORDS = 4
 SEED = 42
 BUDGET = 4
 #: Entries that one traversal takes at a time, and pairs of nodes that it expands at a time.
-CHUNK_ROWS = 200_000
-FRONTIER = 1 << 17
+CHUNK_ROWS = 100_000
+FRONTIER = 1 << 16
+#: Pairs of entries up to which a pair of nodes is compared entry by entry.
+DIRECT = 16
 #: Entries above which a sub-trie is split, by Spark and within a task.
 HOT_ROWS = 200_000
 TRAVERSED = 2048
@@ -146,11 +148,31 @@ class Forest:
         return members, self.root[members]
 
 
-def join_tries(bucket, words: Sequence, member, forest: Forest, budget: int) -> None:
+def _compare(al, ah, bl, bh, near, member, forest: Forest) -> None:
+    """Unites the near members of each pair of ranges, comparing entry by entry."""
+    import numpy as np
+
+    width = bh - bl
+    ends = np.cumsum((ah - al) * width)
+    for i in range(0, len(al), FRONTIER // DIRECT):
+        own = slice(i, i + FRONTIER // DIRECT)
+        first = ends[i - 1] if i else 0
+        counts = np.diff(ends[own], prepend=first)
+        k = np.arange(ends[own][-1] - first) - np.repeat(ends[own] - counts - first, counts)
+        wide = np.repeat(width[own], counts)
+        a, b = np.repeat(al[own], counts) + k // wide, np.repeat(bl[own], counts) + k % wide
+        ahead = a < b
+        a, b = a[ahead], b[ahead]
+        ok = near(a, b)
+        forest.unite(member[a[ok]], member[b[ok]])
+
+
+def join_tries(bucket, words: Sequence, member, forest: Forest, budget: int, direct: int = DIRECT) -> None:
     """Unites the members whose fingerprints in one bucket differ in ``budget`` bits or fewer.
 
     bucket: ascending numbers; words: uint64 arrays, which make up the
     fingerprints, first bits first; entries ascend by bucket and fingerprint.
+    Pairs of nodes with ``direct`` pairs of entries or fewer are leaves.
     """
     import numpy as np
 
@@ -175,11 +197,9 @@ def join_tries(bucket, words: Sequence, member, forest: Forest, budget: int) ->
             half = len(al) // 2
             stack += [(bit, al[half:], ah[half:], bl[half:], bh[half:], errors[half:]), (bit, al[:half], ah[:half], bl[:half], bh[:half], errors[:half])]
             continue
-        leaf = (ah - al == 1) & (bh - bl == 1)
+        leaf = (ah - al) * (bh - bl) <= direct
         if leaf.any():
-            a, b = al[leaf], bl[leaf]
-            ok = near(a, b)
-            forest.unite(member[a[ok]], member[b[ok]])
+            _compare(*(x[leaf] for x in (al, ah, bl, bh)), near, member, forest)
         root = forest.root[member]
         changes = np.r_[0, np.cumsum(root[1:] != root[:-1])]
         known = (root[al] == root[bl]) & (changes[al] == changes[ah - 1]) & (changes[bl] == changes[bh - 1])
