@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.sources.shared import checkpointed, scratch
 
-__all__ = ["FILTER_BITS", "KEY_NAMES", "WS_CHARS", "WS_RUN", "checkpointed", "hash_filter", "keep_rows", "packed", "require", "row_key", "scratch", "split_words", "table", "text_or_empty", "with_hit", "without_whitespace"]
+__all__ = ["FILTER_BITS", "HashFilter", "KEY_NAMES", "WS_CHARS", "WS_RUN", "checkpointed", "hash_filter", "keep_rows", "packed", "require", "row_key", "scratch", "split_words", "table", "text_or_empty", "with_hit", "without_whitespace"]
 
 #: The six characters that separate words.
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_RUN = r"[\x20\x09-\x0D]+"
-#: Bits of a hash_filter(): at most 16 MB.
+#: Bits of a hash_filter() at most: 16 MB.
 FILTER_BITS = 27
 
 
@@ -55,21 +56,30 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), *more)
 
 
-def hash_filter(hashes: DataFrame, bits: int | None = None) -> DataFrame:
-    """A Bloom filter of one hash function over the first column, a long: (__cell, __bits), at most 2 ** bits / 32768 rows of 4 KB, checkpointed."""
-    slot = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << (bits or FILTER_BITS)) - 1))
+class HashFilter(NamedTuple):
+    """A Bloom filter of one hash function: (__cell, __bits), 2 ** bits / 32768 rows of 4 KB."""
+
+    cells: DataFrame
+    bits: int
+
+
+def hash_filter(hashes: DataFrame, bits: int | None = None) -> HashFilter:
+    """A filter over the first column, a long. Eight bits a hash or more, but never more than FILTER_BITS: beyond that it lets more rows through."""
+    if bits is None:
+        bits = min(FILTER_BITS, max(15, (8 * hashes.count()).bit_length()))
+    slot = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
     placed = hashes.select(F.shiftright(slot, 15).alias("__cell"), slot.bitwiseAND(F.lit(32767)).alias("__place")).distinct()
     # Cells are dealt out before they are summed: a bitmap takes 4 KB in every task that makes one.
-    return checkpointed(placed.repartition("__cell").groupBy("__cell").agg(F.bitmap_construct_agg("__place").alias("__bits")))
+    return HashFilter(checkpointed(placed.repartition("__cell").groupBy("__cell").agg(F.bitmap_construct_agg("__place").alias("__bits"))), bits)
 
 
-def with_hit(rows: DataFrame, name: str, value: Column, found: DataFrame, bits: int | None = None) -> DataFrame:
-    """Adds the boolean ``name``: whether the filter may hold ``value``. False is certain. The filter's size is fixed, so it is broadcast."""
-    slot = value.bitwiseAND(F.lit((1 << (bits or FILTER_BITS)) - 1))
+def with_hit(rows: DataFrame, name: str, value: Column, found: HashFilter) -> DataFrame:
+    """Adds the boolean ``name``: whether the filter may hold ``value``. False is certain. The filter's size has a fixed bound, so it is broadcast."""
+    slot = value.bitwiseAND(F.lit((1 << found.bits) - 1))
     place = slot.bitwiseAND(F.lit(32767)).cast("int")
     octet = F.conv(F.hex(F.substring("__bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(octet.bitwiseAND(F.pow(F.lit(2), place.bitwiseAND(7)).cast("int")) > 0, F.lit(False))
-    cells = found.select(F.col("__cell").alias("__at"), "__bits")
+    cells = found.cells.select(F.col("__cell").alias("__at"), "__bits")
     return rows.join(F.broadcast(cells), F.shiftright(slot, 15) == F.col("__at"), "left").select(*rows.columns, bit.alias(name))
 
 
@@ -82,7 +92,7 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     Only rows that hit both, a few but for rows alike in id and text, are
     shuffled with their texts, and alike ones are combined before that.
     """
-    code = F.xxhash64(*KEY_NAMES)
+    code, decided = F.xxhash64(*KEY_NAMES), checkpointed(decided.select(*KEY_NAMES, "__kept"))
     dropped = hash_filter(decided.where("not __kept").select(code.alias("h")))
     doubtful = checkpointed(with_hit(decided.where("__kept").select(*KEY_NAMES), "__hit", code, dropped).where("__hit").select(*KEY_NAMES).distinct())
     spared = hash_filter(doubtful.select(code.alias("h")))

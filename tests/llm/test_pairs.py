@@ -229,7 +229,6 @@ def test_components_of_chains_and_hubs(spark):
 
 
 def test_keep_rows_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(common, "FILTER_BITS", 17)
     rows = [(i if i % 11 else None, f"t{i % 37}" if i % 13 else None) for i in range(400)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__row", F.lit(1)).withColumn("__key_id", F.lit("x")).withColumn("__at", F.lit(2))
     keep = {r for r in rows if hash(str(r)) % 3}
@@ -246,6 +245,6 @@ def test_hash_filter_never_misses(spark):
     values = [0, 1, -1, 2**63 - 1, -(2**63), 32767, 32768, *range(1000, 90_000, 777)]
     rows = spark.createDataFrame([(v,) for v in values], "v long")
     found = common.hash_filter(rows, 20)
-    assert common.with_hit(rows, "hit", F.col("v"), found, 20).where("not hit").count() == 0
+    assert common.with_hit(rows, "hit", F.col("v"), found).where("not hit").count() == 0
     others = spark.range(200_000, 210_000).select(F.col("id").alias("v"))
-    assert common.with_hit(others, "hit", F.col("v"), found, 20).where("hit").count() == sum(v % 2**20 in {x % 2**20 for x in values} for v in range(200_000, 210_000))
+    assert common.with_hit(others, "hit", F.col("v"), found).where("hit").count() == sum(v % 2**20 in {x % 2**20 for x in values} for v in range(200_000, 210_000))
