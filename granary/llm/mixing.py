@@ -16,10 +16,10 @@
    they fit, and a few swapped for a closer fit. No pattern's documents ever meet in one task, only one bucket's.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null
-source is a source and ranks last; ids may repeat or be null (rows alike in id
-and size share one hash place); a text of any length is counted whole; an empty
-table gives an empty result; other columns aren't read, whatever their names.
-Reruns agree.
+source is a source and ranks last; ids may repeat or be null (a row's place
+follows its id and text, so only rows alike in both share one); a text of any
+length is counted whole; an empty table gives an empty result; other columns
+aren't read, whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
@@ -221,7 +221,7 @@ def tagged(docs: DataFrame, payload: list[str], id_col: str, text_col: str, sour
         docs[id_col].alias("__id"),
         F.size(split_words(docs[text_col])).cast("long").alias("__size"),
         _pattern(sources, docs).alias("__pattern"),
-        F.xxhash64(docs[id_col], F.lit(seed)).alias("__hash"),
+        F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("__hash"),
         F.xxhash64(docs[text_col]).alias("__tie"),
     )
 

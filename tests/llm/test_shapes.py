@@ -190,6 +190,15 @@ def test_small_buckets_fill_as_well(spark):
     assert all(0 <= r.target - r.taken < 120 for r in found)
 
 
+def test_rows_without_ids_are_dealt_by_their_texts(spark):
+    texts = F.concat_ws(" ", "text", F.concat(F.lit("own"), F.col("doc_id").cast("string")))
+    docs = frame(spark, MIXED[:600]).withColumn("text", texts).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = mixing.checkpointed(mixing.tagged(docs, [], "doc_id", "text", "source", 1))
+    assert rows.select("__hash").distinct().count() == 600
+    taken = mixing.with_repeats(rows, mixing.decide(rows, bucket_docs=16)).groupBy("__pattern").agg(F.sum(F.col("__size") * F.col("__repeats")).alias("taken"), F.first("target").alias("target"))
+    assert all(0 <= r.target - r.taken < 120 for r in taken.collect())
+
+
 def test_overlapping_sources(spark):
     docs = frame(spark, [(i, 50, "x") for i in range(300)]).withColumn("source", F.when(F.col("doc_id") < 100, F.array(F.lit("a"))).when(F.col("doc_id") < 200, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("b"))))
     found = mixing.mix_sources(docs, weights=(2, 1)).collect()
